@@ -7,9 +7,9 @@ a bin with probability equal to their Jaccard similarity, with concentration as
 
 Links are exact: candidates come from BANDS bands of ROWS bins (at a similarity of 0.8 a pair is missed with
 probability (1 - 0.8**4)**32 = 5e-8) and are confirmed on the full shingle sets. Sets that are equal form one
-node. In a bucket each node is first compared with one centre, the node that shares most buckets; what the
-components of these links leave apart inside one bucket is then compared exactly, so no cap is needed and groups
-of copies do not multiply.
+node. In a bucket each node is first compared with one centre, the node that shares most buckets; what these
+comparisons tie together but leave in different components is then compared exactly, block by block, after nodes
+that have too few shingles in common with any other have left. So no cap is needed, no pair but a link becomes a row.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import components, cut
+from .shared import components, cut, fresh
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+#: Nodes in a block when components are compared.
+BLOCK_FEW, BLOCK_ALL = 256, 2048
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ROUND = np.arange(1, 2 * 4096 + 1, dtype=np.uint64) * _GOLD
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -140,6 +142,80 @@ def _same_set(k: int):
     return run
 
 
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for a, b, data, offs in rg.blocks(batch.column(1)):
+                values, at = shingle_sets(data, offs, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[a:b], np.diff(at))), pa.array(values.view(np.int64))], ["node", "s"])
+
+    return run
+
+
+def _with_bounds(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """open_ without the nodes that can't have a link: less than percent of their shingles are in another node of open_.
+
+    Twice, as what a leaving node alone shared with one other then counts no more.
+    """
+    for _ in range(2):
+        sets = texts.join(open_.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_shingles(k), "node long, s long")
+        common = sets.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("s")
+        held = sets.join(fresh(common, "s"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+        open_ = cut(open_.join(held, "node").where(f"100 * common >= {percent} * n").drop("common"))
+    return open_
+
+
+def _links_of_block(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        node, part, few = (table.column(c).to_numpy() for c in ("node", "component", "few"))
+        lists = table.column("s").combine_chunks()
+        at, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        sizes = np.diff(at)
+        names, ids = np.unique(values, return_inverse=True)
+        left, right = np.flatnonzero(few), np.flatnonzero(~few)
+        there = np.zeros(len(names), np.int32)
+        flat = np.concatenate([ids[at[j] : at[j + 1]] for j in right]) if len(right) else ids[:0]
+        edges = np.r_[0, np.cumsum(sizes[right])]
+        u, v = [], []
+        for i in left if len(right) else ():
+            own = ids[at[i] : at[i + 1]]
+            there[own] = 1
+            both = np.add.reduceat(there[flat], edges[:-1])
+            there[own] = 0
+            hit = right[(100 * both >= percent * (sizes[i] + sizes[right] - both)) & (part[right] != part[i])]
+            u.append(np.repeat(node[i], len(hit)))
+            v.append(node[hit])
+        return pa.table({"u": np.concatenate(u) if u else node[:0], "v": np.concatenate(v) if v else node[:0]})
+
+    return run
+
+
+def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components of one cluster, exactly: its nodes outside the largest component against all.
+
+    Both sides are dealt into blocks of bounded size and each pair of blocks is one task's work on whole sets; a pair
+    of nodes is never a row unless it is a link.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in rg.blocks(batch.column(1)):
+                values, at = shingle_sets(data, offs, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rg.flat_lists(values.view(np.int64), np.diff(at), pa.int64())], ["node", "s"])
+
+    held = texts.join(open_.select("node"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>")
+    few = F.col("component") != F.col("largest")
+    counts = open_.groupBy("cluster").agg(F.sum(few.cast("long")).alias("a"), F.count(F.lit(1)).alias("b")).where("a > 0")
+    counts = counts.select("cluster", F.ceil(F.col("a") / BLOCK_FEW).alias("a"), F.ceil(F.col("b") / BLOCK_ALL).alias("b"))
+    rows = open_.join(fresh(counts, "cluster"), "cluster").select("node", "cluster", "component", few.alias("few"), "a", "b").join(held, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    left = rows.where("few").withColumns({"x": own("a"), "y": F.explode(F.sequence(F.lit(0), F.col("b") - 1))})
+    right = rows.withColumns({"few": F.lit(False), "y": own("b"), "x": F.explode(F.sequence(F.lit(0), F.col("a") - 1))})
+    both = left.unionByName(right).select("cluster", "x", "y", "node", "component", "few", "s")
+    return both.groupBy("cluster", "x", "y").applyInArrow(_links_of_block(percent), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
@@ -170,18 +246,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     links = cut(verified(tried))
     parts = cut(components(links))
-    # What one bucket holds in more than one component: all but the largest component's nodes against all others.
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per_part = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
-    split = per_part.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("parts > 1")
-    open_ = cut(placed.drop("size").join(split.select("band", "largest"), "band"))
-    few = open_.where("component != largest").select("band", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
-    rest = few.join(open_.select("band", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv")), "band")
-    rest = rest.where(f"cu != cv and 100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    done = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rest = cut(rest.join(done, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        parts = cut(components(links.unionByName(verified(rest))))
+    # What is tied by comparisons but in more than one component: all but the largest's nodes against all others.
+    ties = components(tried).withColumnRenamed("component", "cluster")
+    placed = ties.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "n"), "node")
+    per_part = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
+    split = per_part.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("parts > 1")
+    open_ = _with_bounds(cut(placed.join(fresh(split.select("cluster", "largest"), "cluster"), "cluster")), texts, k, percent)
+    more = cut(_across(open_, texts, k, percent))
+    if not more.isEmpty():
+        parts = cut(components(links.unionByName(more)))
 
     joined = nodes.select("node", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
