@@ -19,6 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +41,11 @@ class FingerprintLog:
     def _write(self, fps: DataFrame) -> str:
         self.number += 1
         run = f"{self.path}/run-{self.number:05d}"
-        fps.select("fp").sortWithinPartitions("fp").write.parquet(run)
+        fps.select("fp", "old", "shared").sortWithinPartitions("fp").write.parquet(run)
         return run
 
     def history(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.runs) if self.runs else None
+        return self.spark.read.parquet(*self.runs).where("not old") if self.runs else None
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes a batch (fp, doc_id); returns its shared fingerprints (fp): in the history, or in two documents of it."""
@@ -53,12 +54,13 @@ class FingerprintLog:
         if history is None:
             marked = seen.withColumn("old", F.lit(False))
         else:
-            marked = seen.join(history.withColumn("old", F.lit(True)).hint("merge"), "fp", "left").withColumn("old", F.coalesce("old", F.lit(False)))
-        marked = cut(marked.select("fp", "old", (F.col("old") | (F.col("first") < F.col("last"))).alias("shared")))
-        self.runs.append(self._write(marked.where(~F.col("old"))))
+            marked = seen.join(history.select("fp", F.lit(True).alias("old")).hint("merge"), "fp", "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        run = self._write(marked.withColumn("shared", F.col("old") | (F.col("first") < F.col("last"))))
+        shared = cut(self.spark.read.parquet(run).where("shared").select("fp"))
+        self.runs.append(run)
         if len(self.runs) >= self.fan_in:
             self.compact()
-        return marked.where("shared").select("fp")
+        return shared
 
     def compact(self) -> None:
         """All runs into one; the old ones go when the new one is complete."""
@@ -174,7 +176,6 @@ def _plan(rows: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame,
     shared = shared_prints(firsts)
     wanted = firsts.select("doc_id", F.explode("fps").alias("fp")).join(fresh(shared, "fp"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
     windows = rows.join(wanted, "doc_id").select("doc_id", "text", "fps").mapInArrow(_verified(span, gram), "h1 long, h2 long, doc_id long")
-    windows = cut(windows)
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     late = windows.join(fresh(least, "h1", "h2"), ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("h1").alias("late"))
     return features, classes.where("first < last").select("ca", "cb", "first"), late
@@ -208,25 +209,28 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFram
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features, copied, late = _plan(rows, span, gram)
-    copies = features.where("doc_id is not null").join(fresh(copied, "ca", "cb"), ["ca", "cb"]).where("doc_id > first").select("doc_id", F.lit(True).alias("copy_")).distinct()
-    kept = docs.join(copies, "doc_id", "left").join(late.withColumnRenamed("late", "late_"), "doc_id", "left").where("copy_ is null")
-    plain = kept.where("late_ is null").select(*docs.columns)
-    others = [c for c in docs.columns if c != "text"]
-    fields = {f.name: f.dataType for f in docs.schema}
+    copies = features.where("doc_id is not null").join(fresh(copied, "ca", "cb"), ["ca", "cb"]).where("doc_id > first").select("doc_id").distinct()
+    late = late.withColumnRenamed("late", "late_")
+    kept = docs.join(copies, "doc_id", "left_anti").join(late, "doc_id", "left")
+    names, at_text = docs.columns, docs.columns.index("text")
+    at_size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = _removed(span, True)
         for batch in batches:
-            n, at = batch.num_rows, 0
-            core = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("late_"))], ["i", "text", "late"])
-            for part in inner(iter([core])):
-                columns = [batch.column(batch.schema.get_field_index(c)).slice(at, len(part)) for c in others]
-                yield pa.RecordBatch.from_arrays([*columns, part.column(4)], [*others, "text"])
-                at += len(part)
-
-    cut_ = kept.where("late_ is not null").select(*docs.columns, "late_")
-    schema = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in [*others, "text"])
-    cut_ = cut_.mapInArrow(run, schema).where("text != ''")
-    if "n_chars" in docs.columns:
-        cut_ = cut_.withColumn("n_chars", F.char_length("text").cast(fields["n_chars"]))
-    return plain.unionByName(cut_.select(*docs.columns))
+            lists = batch.column(len(names))
+            same = batch.filter(lists.is_null())
+            if len(same):
+                yield same.select(names)
+            some = batch.filter(lists.is_valid())
+            if not len(some):
+                continue
+            core = pa.RecordBatch.from_arrays([pa.array(np.arange(len(some))), some.column(at_text), some.column(len(names))], ["i", "text", "late"])
+            texts = pa.concat_arrays([part.column(4) for part in inner(iter([core]))])
+            columns = [some.column(i) for i in range(len(names))]
+            columns[at_text] = texts
+            if at_size is not None:
+                columns[at_size] = pc.utf8_length(texts).cast(columns[at_size].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pc.not_equal(texts, ""))
+
+    return kept.select(*names, "late_").mapInArrow(run, docs.schema)
