@@ -1,30 +1,55 @@
-"""The corpus pipeline: language identification, near and exact deduplication, decontamination, packing."""
+"""The corpus pipeline: language identification, near and exact deduplication, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import near_dup, substring_dedup
+from weirflow.llm import decontaminate, lang_id, near_dup, packing, substring_dedup
 from weirflow.llm.shared import remove, shared_path
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model, learned from the labelled rows of docs, rejects go."""
+    return lang_id.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays."""
     return near_dup.keep_first(docs, k=5, percent=80)
 
 
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document with a smaller doc_id has are cut out."""
     return substring_dedup.cut_repeats(docs)
 
 
-STAGES = [("near_dup", near), ("substring_dedup", repeats)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 2048 tokens, with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_dup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
 #: Learned models, sketches and greedy packing are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; what each returns is written to the shared folder and read again as the next one's docs."""
+    """STAGES applied to documents, each one's result by way of the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     last = None
     for name, stage in STAGES:
