@@ -45,6 +45,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import read, store
+
+    return read(store(_table(spark, sf_dir, "documents")), with_samples=False)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
