@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, license_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import read, store
 
@@ -70,4 +74,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("op") and k[2].isdigit()}
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op6_license_scan": license_scan.SQL}
