@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import components, cut, fresh
+from .shared import components, cut, fresh, release
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -159,7 +159,7 @@ def _with_bounds(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     Twice, as what a leaving node alone shared with one other then counts no more.
     """
     for _ in range(2):
-        sets = texts.join(open_.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_shingles(k), "node long, s long")
+        sets = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_shingles(k), "node long, s long")
         common = sets.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("s")
         held = sets.join(fresh(common, "s"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
         open_ = cut(open_.join(held, "node").where(f"100 * common >= {percent} * n").drop("common"))
@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     one component and get one row each. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     features = cut(rows.mapInArrow(_features(k), "doc_id long, n_shingles long, node long, bands array<long>"))
     known = features.where("n_shingles > 0 and doc_id is not null")
     nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.min("n_shingles").alias("n")))
@@ -238,6 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     involved = members.select("node", "rep").distinct()
     texts = rows.join(involved, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(_same_set(k), "node long, text string")
     texts = cut(texts.dropDuplicates(["node"]) if _repeats(rows) else texts)
+    del members, shared, degree, centre, involved
+    release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
@@ -246,15 +249,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     links = cut(verified(tried))
     parts = cut(components(links))
-    # What is tied by comparisons but in more than one component: all but the largest's nodes against all others.
-    ties = components(tried).withColumnRenamed("component", "cluster")
-    placed = ties.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "n"), "node")
+    # What comparisons with one centre leave in more than one component: all but the largest's nodes against all others.
+    group = tried.select(F.col("v").alias("cluster"), F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("cluster"), F.col("v").alias("node")).distinct())
+    placed = cut(group.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(nodes.select("node", "n"), "node"))
     per_part = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"))
     split = per_part.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("parts > 1")
     open_ = _with_bounds(cut(placed.join(fresh(split.select("cluster", "largest"), "cluster"), "cluster")), texts, k, percent)
+    del placed, per_part, split, group
+    release(spark)
     more = cut(_across(open_, texts, k, percent))
     if not more.isEmpty():
-        parts = cut(components(links.unionByName(more)))
+        parts = cut(components(parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)))
+    del open_, more, texts, tried, links
+    release(spark)
 
     joined = nodes.select("node", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))

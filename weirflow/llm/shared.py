@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files and checkpoints of frames that are out of use.
+
+    The cleaner follows garbage collection on the driver, which may not happen for long while executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *keys: str) -> DataFrame:
     """df with keys that Spark takes for new columns: a join on them gets an exchange of its own on either side, which
     adaptive execution can split when a key is hot; an aggregate's own partitioning would be reused whole."""
@@ -63,6 +73,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(oriented(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        del both, least, large, small
+        release(edges.sparkSession)
         now = _signature(edges)
         if now == seen:
             break
