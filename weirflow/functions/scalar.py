@@ -48,3 +48,13 @@ def rank_at(n: Column, share: float) -> Column:
 def json_text(line: Column, field: str = "text") -> Column:
     """A field of a JSON line; null where the line is malformed."""
     return F.get_json_object(line, f"$.{field}")
+
+
+def plain_time(micros: Column) -> Column:
+    """Microseconds since 1970 as a timestamp without a time zone, whatever the session's zone is."""
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def micros_of(plain: Column) -> Column:
+    """The reverse of plain_time()."""
+    return ((plain - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")

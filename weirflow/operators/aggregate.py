@@ -85,6 +85,42 @@ def percentile_all(df: DataFrame, share: float, value: str = "v") -> DataFrame:
     return band.withColumn("upto", upto).where((F.col("upto") > want) & (F.col("upto") - F.col("c") <= want)).select(value)
 
 
+def _cuts(df: DataFrame, at: Callable, share: float, groups: tuple[str, ...], value: str) -> DataFrame:
+    """(groups, n_, cut_, upto_): the value at rank at(n) of each group and how many rows are not above it.
+
+    Quantile sketches bound a narrow band about the rank; of the rows outside it only those below are counted, and of
+    those inside only distinct values are put in order. So no group is sorted whole, and a hot one is aggregated by
+    many tasks before its counts meet.
+    """
+    eps = 0.001
+    low, high = max(0.0, share - eps), min(1.0, share + eps)
+    rows = df.where(F.col(value).isNotNull()).select(*groups, value)
+    bounds = rows.groupBy(*groups).agg(F.percentile_approx(value, [low, high], 10000).alias("b_"), F.min(value).alias("least_"), F.max(value).alias("most_"), F.count(F.lit(1)).alias("n_"))
+    bounds = bounds.select(*groups, "n_", (F.col("least_") if low == 0 else F.col("b_")[0]).alias("lo_"), (F.col("most_") if high == 1 else F.col("b_")[1]).alias("hi_"))
+    near = rows.join(bounds, list(groups)).where(F.col(value) <= F.col("hi_"))
+    steps = near.groupBy(*groups, "n_", F.when(F.col(value) >= F.col("lo_"), F.col(value)).alias("cut_")).agg(F.count(F.lit(1)).alias("c_"))
+    upto = F.sum("c_").over(Window.partitionBy(*groups).orderBy(F.col("cut_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumn("upto_", upto)
+    return steps.where((F.col("upto_") > at(F.col("n_"))) & (F.col("upto_") - F.col("c_") <= at(F.col("n_")))).select(*groups, "n_", "cut_", "upto_")
+
+
+def percentile_by_hot(df: DataFrame, share: float, *groups: str, value: str = "v") -> DataFrame:
+    """percentile_by's values for few, huge groups; nulls are left out."""
+    found = _cuts(df, lambda n: F.least(rank_at(n, share), n - 1), share, groups, value)
+    return found.select(*groups, F.col("cut_").alias(value))
+
+
+def top_share_by_hot(df: DataFrame, share: float, *groups: str, value: str = "v") -> DataFrame:
+    """top_share_by's values for few, huge groups: all above the cut, and as many equal to it as are wanted."""
+    cuts = _cuts(df, lambda n: n - rank_at(n, share), 1 - share, groups, value)
+    above = df.join(cuts, list(groups)).where(F.col(value) > F.col("cut_")).select(*groups, value)
+    equal = cuts.withColumn("more_", rank_at(F.col("n_"), share) - (F.col("n_") - F.col("upto_"))).where("more_ > 0")
+    part = 10_000  # equal values are made in parts, however many there are
+    equal = equal.withColumn("at_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("more_") - 1) / part))))
+    equal = equal.withColumn("one_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(part).cast("long"), F.col("more_") - F.col("at_") * part))))
+    return above.unionByName(equal.select(*groups, F.col("cut_").alias(value)))
+
+
 def top_count(df: DataFrame, *groups: str, key: str = "k", value: str = "v") -> DataFrame:
     """Sums of every key, ascending inside each window (bounded frames; ties by key)."""
     return df.groupBy(*groups, key).agg(F.sum(value).alias("sum")).orderBy(*groups, "sum", key)

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 def join_by_key(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
     """For every key on both sides all rows of the left and all of the right: m + n rows, not m * n.
 
-    Both sides are reduced to their keys by semi-joins, on streams too.
+    Both sides are semi-joined with the other's keys; those are made distinct first, so a hot key is one row of the
+    side that is looked up and the rows that carry it can be split. Streams, where distinct keys would be another
+    state, are semi-joined as they are.
     """
-    return left.join(right, list(on), "left_semi").select(*left.columns).unionByName(right.join(left, list(on), "left_semi").select(*left.columns))
+    keys = lambda df: df.select(*on) if df.isStreaming else df.select(*on).distinct()
+    return left.join(keys(right), list(on), "left_semi").select(*left.columns).unionByName(right.join(keys(left), list(on), "left_semi").select(*left.columns))
 
 
 def join_by_filter(rows: DataFrame, threshold: DataFrame, value: str = "v", over: str = "v", *on: str) -> DataFrame:

@@ -1,10 +1,8 @@
-"""Named queries over the standard tables, each with its SQL."""
+"""All named queries over the standard tables, each with its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, joins, stateless, streams, windows  # noqa: F401  (they register what they hold)
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -24,7 +24,8 @@ def csv_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_t
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """The files of a folder, or a single file: as a pattern, which streams take for either."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def replay(df: DataFrame, start: Column, step_us: int, order: str) -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..functions.scalar import micros_of, plain_time
+
 SLACK = "10 seconds"
 
 
 def watermarked(df: DataFrame, ts: str = "ts", slack: str = SLACK) -> DataFrame:
     """Event time with a watermark; columns without a time zone are taken as UTC. Rows older than it are dropped one by one."""
     if dict(df.dtypes)[ts] == "timestamp_ntz":
-        df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+        df = df.withColumn(ts, F.timestamp_micros(micros_of(F.col(ts))))
     return df.withWatermark(ts, slack)
 
 
@@ -39,9 +43,30 @@ def parquet_sink(df: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def batch_sink(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None) -> StreamingQuery:
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the cluster shares, spark.checkpoint.dir; without one (tests), in a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirflow-")
+    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def without_zone(df: DataFrame) -> DataFrame:
+    """df with its timestamps, and those of a window, as UTC times without a zone; the window becomes two columns."""
+    if "window" in df.columns:
+        df = df.select(F.col("window.start").alias("w_start"), F.col("window.end").alias("w_end"), *[c for c in df.columns if c != "window"])
+    return df.withColumns({c: plain_time(F.unix_micros(c)) for c, kind in df.dtypes if kind == "timestamp"})
+
+
+def run_available(df: DataFrame, name: str) -> DataFrame:
+    """Works off all that a stream's source holds, in append mode, into files of the shared folder; returns what they hold."""
+    path = shared_folder(df.sparkSession, name)
+    parquet_sink(df, path, f"{path}-progress", available_now=True).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def batch_sink(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Calls each(batch, number) for every micro-batch: where ranking or ordering, which streams lack, is done."""
     writer = df.writeStream.foreachBatch(each).outputMode(mode)
+    writer = writer.trigger(availableNow=True) if available_now else writer
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
