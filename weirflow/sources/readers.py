@@ -116,8 +116,14 @@ def rate_stream(spark: SparkSession, per_second: int) -> DataFrame:
 
 
 def produce(df: DataFrame, path: str, bundles: int, order: str = "ts") -> None:
-    """A load generator's part: df as that many files, in the order of event time, for a file stream to pick up."""
-    df.repartitionByRange(bundles, order).sortWithinPartitions(order).write.mode("overwrite").parquet(path)
+    """A load generator's part: df as that many files, one after another in the order of event time, for a file stream
+    to pick up; streams take files by their time, so each is complete before the next begins."""
+    at = df.agg(F.percentile_approx(order, [i / bundles for i in range(1, bundles)], 10_000).alias("cuts")).first()["cuts"] if bundles > 1 else []
+    edges = [None, *(at or []), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = df if low is None else df.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
 
 
 def fan_out(df: DataFrame, n: int) -> list[DataFrame]:
