@@ -61,10 +61,11 @@ def test_log_finds_what_is_old_and_compacts(spark):
     log.drop()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bytes_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, suffix_dedup.HOT), (2, 3), (3, 0)])
+def test_bytes_equal_brute_force(spark, seed, hot):
+    """With all, some and no fingerprints sorted."""
     rows = corpus(seed, 60)
-    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows), hot=hot).collect()}
     want = byte_repeats(rows)
     assert found == want
     assert any(0 < x[1] < x[0] and x[2] > 1 for x in want.values())

@@ -8,7 +8,9 @@ trie, which looks at branching characters alone. Suffixes that stay together ove
 doc_id keeps its bytes.
 
 Whole copies are settled before, and equal segments are aggregated before they are sent, so a passage that many
-documents share is sorted once.
+documents share is sorted once. A fingerprint of over HOT documents may still have any number of unlike segments (a
+common line of fewer than SPAN bytes): those are dealt by themselves, and their strings are settled by an aggregate and
+a join on two hashes, which tasks can share.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ SPAN, GRAM = 50, 16
 #: Starts in a segment at most, so that a mask of them is a long; bytes of segments sorted at once.
 STARTS, SORT_BYTES = 62, 8 << 20
 SHALLOW = 2  # characters of eight bytes
+#: A fingerprint of more documents is not sorted in one task.
+HOT = 50_000
 
 
 # Sorting -----------------------------------------------------------------------------------------------------------
@@ -153,45 +158,67 @@ def _segments(span: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            ids, lists, hots = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
             for a, b, data, offs in rg.blocks(batch.column(1)):
                 starts, sizes, prints, row = _runs(data, offs, span, gram)
-                cuts, keep = np.searchsorted(row, np.arange(b - a + 1)), np.zeros(len(row), bool)
+                cuts, keep, hot = np.searchsorted(row, np.arange(b - a + 1)), np.zeros(len(row), bool), np.zeros(len(row), bool)
                 for i in range(b - a):
-                    keep[cuts[i] : cuts[i + 1]] = np.isin(prints[cuts[i] : cuts[i + 1]], lists[a + i].values.to_numpy().view(np.uint64))
-                starts, sizes, prints, row = starts[keep], sizes[keep], prints[keep], row[keep]
+                    own = prints[cuts[i] : cuts[i + 1]]
+                    keep[cuts[i] : cuts[i + 1]] = np.isin(own, lists[a + i].values.to_numpy().view(np.uint64))
+                    if len(hots[a + i].values):
+                        hot[cuts[i] : cuts[i + 1]] = np.isin(own, hots[a + i].values.to_numpy().view(np.uint64))
+                starts, sizes, prints, row, hot = starts[keep], sizes[keep], prints[keep], row[keep], hot[keep]
                 length = sizes + span - 1
                 at = np.r_[0, np.cumsum(length)]
                 flat = data[np.repeat(starts - at[:-1], length) + np.arange(at[-1])]
                 seg = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
                 one, two = _digest(flat, at)
                 ca, _ = _digest(data, offs)
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), seg, pa.array(one), pa.array(two), pa.array(ids[a:b][row]), pa.array(ca[row]), pa.array((starts - offs[row]).astype(np.int32)), pa.array(sizes.astype(np.int32))], ["fp", "seg", "sa", "sb", "doc_id", "ca", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(hot), seg, pa.array(one), pa.array(two), pa.array(ids[a:b][row]), pa.array(ca[row]), pa.array((starts - offs[row]).astype(np.int32)), pa.array(sizes.astype(np.int32))], ["fp", "hot", "seg", "sa", "sb", "doc_id", "ca", "start", "n"])
 
     return run
 
 
+_SEEN = ["sa", "sb", "first", "mask", "ha", "hb"]
+
+
 def _first_seen(span: int):
-    """For each segment (fp, seg, doc_id) the mask of its starts whose string a smaller doc_id has; rows come sorted by fp."""
+    """For each segment (fp, seg, doc_id, hot) the mask of its starts whose string a smaller doc_id has; rows come sorted
+    by fp. A hot segment's starts are rows of their own instead, a mask of one bit and two hashes of the string."""
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        seg, doc = table.column("seg").combine_chunks(), table.column("doc_id").to_numpy()
-        _, _, data, at = next(rg.blocks(seg, 1 << 62))
+    def placed(table: pa.Table) -> tuple[np.ndarray, ...]:
+        _, _, data, at = next(rg.blocks(table.column("seg").combine_chunks(), 1 << 62))
         sizes = np.diff(at) - span + 1
         within = np.arange(sizes.sum()) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        starts, owner = np.repeat(at[:-1], sizes) + within, np.repeat(np.arange(len(sizes)), sizes)
+        return data, at, np.repeat(at[:-1], sizes) + within, within, np.repeat(np.arange(len(sizes)), sizes)
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        doc = table.column("doc_id").to_numpy()
+        data, at, starts, within, owner = placed(table)
         order, head = suffix_classes(data, starts, span)
         first = np.minimum.reduceat(doc[owner[order]], np.flatnonzero(head))
         late = np.zeros(len(starts), bool)
         late[order] = first[np.cumsum(head) - 1] < doc[owner[order]]
-        mask = np.zeros(len(sizes), np.int64)
+        mask = np.zeros(len(doc), np.int64)
         np.bitwise_or.at(mask, owner[late], np.int64(1) << within[late])
         one, two = _digest(data, at)
-        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(doc), pa.array(mask)], ["sa", "sb", "first", "mask"])
+        none = pa.nulls(len(doc), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(doc), pa.array(mask), none, none], _SEEN)
+
+    def spread(table: pa.Table) -> pa.RecordBatch:
+        data, at, starts, within, owner = placed(table)
+        one, two = _digest(data, at)
+        ha, hb = (lane.spans(lane.prefix(lane.table[data]), starts, starts + span).view(np.int64) for lane in (rg.LANE_A, rg.LANE_B))
+        doc = table.column("doc_id").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (one[owner], two[owner], doc[owner], np.int64(1) << within, ha, hb)], _SEEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            hot = batch.filter(batch.column(3))
+            for i in range(0, len(hot), 4096):
+                yield spread(pa.Table.from_batches([hot.slice(i, 4096)]))
+            batch = batch.filter(pc.invert(batch.column(3)))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -236,7 +263,7 @@ def _apply(span: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs.
 
     A byte of the UTF-8 text goes if a string of span bytes over it also starts in a document with a smaller doc_id;
@@ -250,12 +277,17 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
     firsts = rows.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
     # One exchange of fingerprints serves both the aggregate and the join.
     prints = firsts.mapInArrow(_prints(span, gram), "fp long, doc_id long").repartition("fp")
-    shared = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("fp")
-    wanted = prints.join(shared, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    segments = firsts.join(wanted, "doc_id").select("doc_id", "text", "fps").mapInArrow(_segments(span, gram), "fp long, seg binary, sa long, sb long, doc_id long, ca long, start int, n int")
-    distinct = segments.groupBy("fp", "seg").agg(F.min("doc_id").alias("doc_id")).repartition("fp").sortWithinPartitions("fp")
-    seen = distinct.select("fp", "seg", "doc_id").mapInArrow(_first_seen(span), "sa long, sb long, first long, mask long")
-    marked = segments.drop("fp", "seg").join(seen, ["sa", "sb"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first"), F.lit(-1)).otherwise(F.col("mask"))).where("mask != 0")
+    shared = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("fp", F.when(F.col("n") > hot, F.col("fp")).alias("hot"))
+    wanted = cut(prints.join(shared, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"), F.collect_set("hot").alias("hots")))
+    segments = firsts.join(wanted, "doc_id").select("doc_id", "text", "fps", "hots").mapInArrow(_segments(span, gram), "fp long, hot boolean, seg binary, sa long, sb long, doc_id long, ca long, start int, n int")
+    distinct = segments.groupBy("fp", "hot", "seg").agg(F.min("doc_id").alias("doc_id"))
+    distinct = distinct.repartition(F.when(F.col("hot"), F.xxhash64("seg")).otherwise(F.col("fp"))).sortWithinPartitions("fp")
+    seen = cut(distinct.select("fp", "seg", "doc_id", "hot").mapInArrow(_first_seen(span), ", ".join(f"{c} long" for c in _SEEN)))
+    strings = seen.where("ha is not null")
+    least = strings.groupBy("ha", "hb").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("ha", "hb", "least")
+    of_hot = strings.join(fresh(least, "ha", "hb"), ["ha", "hb"], "left").groupBy("sa", "sb").agg(F.min("first").alias("first"), F.bit_or(F.when(F.col("first") > F.col("least"), F.col("mask")).otherwise(F.lit(0))).alias("mask"))
+    seen = seen.where("ha is null").select("sa", "sb", "first", "mask").unionByName(of_hot)
+    marked = segments.drop("fp", "hot", "seg").join(seen, ["sa", "sb"]).withColumn("mask", F.when(F.col("doc_id") > F.col("first"), F.lit(-1)).otherwise(F.col("mask"))).where("mask != 0")
     late = marked.groupBy("doc_id", "ca").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks")).withColumnRenamed("ca", "of")
     changed = rows.join(late, "doc_id").select("doc_id", "text", "marks", "of").mapInArrow(_apply(span), "doc_id long, ca long, cb long, gone long, spans long, out string").distinct()
     copied = classes.where("first < last").select("ca", "cb", "first")
