@@ -33,6 +33,13 @@ def test_seed_decides_and_places_are_spread(spark):
     assert abs(np.corrcoef(np.arange(3000), slot)[0, 1]) < 0.08 and abs(np.corrcoef(np.arange(3000), shard)[0, 1]) < 0.08
 
 
+def test_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 3)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = sharding.shuffled_shards(df, 7, bucket_bytes=4096).collect()
+    assert sorted(r["slot"] * 7 + r["shard"] for r in rows) == list(range(2000))
+
+
 def test_whole_rows_are_kept(spark):
     rows = [*corpus(1, 30), (None, "x"), (None, None), (3, "again"), (3, "again")]
     df = frame(spark, rows)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_path
@@ -17,6 +17,7 @@ from .shared import shared_path
 SHARDS, SEED = 16, 20240917
 #: Text of a bucket; a bucket is shuffled in one task's memory.
 BUCKET_BYTES = 8 << 20
+PART = 4096
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -32,37 +33,45 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
 
     slot counts from 0 in each shard without a gap; shards differ by a row at most. Every row is written once: rows
     with null ids or texts and repeated rows too. A row's bucket follows from seed and doc_id (rows without one: from
-    their place in the input). An empty table gives an empty one. Columns named bucket_, place_ or count_ are refused.
+    their text). An empty table gives an empty one. Columns named bucket_, shard or slot are refused.
     """
     spark, names = docs.sparkSession, docs.columns
-    taken = {"bucket_", "place_", "first_", "shard", "slot"} & set(names)
+    taken = {"bucket_", "shard", "slot"} & set(names)
     if taken:
         raise ValueError(f"these names are needed: {sorted(taken)}")
     size, n = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
     buckets = max(1, -(-(size or 0) // bucket_bytes), -(-n // (bucket_bytes // 128)))
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id()))
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
     rows = docs.withColumn("bucket_", F.pmod(key, F.lit(buckets)))
-    counts = sorted((r["bucket_"], r["count"]) for r in rows.groupBy("bucket_").count().collect())
-    first = np.zeros(buckets + 1, np.int64)
-    for b, c in counts:
-        first[b + 1] = c
-    first = np.cumsum(first)  # one number for each bucket of BUCKET_BYTES
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, start: pa.Table) -> pa.Table:
         bucket = table.column("bucket_")[0].as_py()
         plain = table.append_column("at_", pa.array(np.arange(table.num_rows)))
         keys = [c for c in (id_col, text_col) if c in names]
         order = plain.select([*keys, "at_"]).sort_by([(c, "ascending") for c in keys]).column("at_").to_numpy()
-        place = first[bucket] + np.arange(table.num_rows)
+        place = start.column("first_")[0].as_py() + np.arange(table.num_rows)
         out = table.take(pa.array(order[fisher_yates(table.num_rows, seed, bucket)])).select(names)
         return out.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", shard int, slot long"
     target = path or shared_path(spark, "shards")
-    rows.groupBy("bucket_").applyInArrow(run, schema).write.parquet(target)
+    rows.groupBy("bucket_").cogroup(_first_places(rows).groupBy("of_")).applyInArrow(run, schema).write.parquet(target)
     return spark.read.parquet(target)
 
 
+def _first_places(rows: DataFrame) -> DataFrame:
+    """(of_, first_): how many rows are in the buckets before each. Sums run inside parts of PART buckets; only the
+    parts' totals come to the driver, one number for PART * BUCKET_BYTES of text."""
+    counts = rows.groupBy("bucket_").agg(F.count(F.lit(1)).alias("count_")).withColumn("part_", F.floor(F.col("bucket_") / PART))
+    totals, before, at = counts.groupBy("part_").agg(F.sum("count_").alias("n")).collect(), [], 0
+    for part, n in sorted(map(tuple, totals)):
+        before.append((part, at))
+        at += n
+    inside = F.sum("count_").over(Window.partitionBy("part_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.sparkSession.createDataFrame(before, "part_ long, before_ long")
+    return counts.withColumn("in_", F.coalesce(inside, F.lit(0))).join(F.broadcast(parts), "part_").select(F.col("bucket_").alias("of_"), (F.col("before_") + F.col("in_")).alias("first_"))
+
+
 def shard_digests(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of shuffled_shards; size is the text's bytes plus one."""
     out = shuffled_shards(docs.select("doc_id", "text"), shards, seed)
