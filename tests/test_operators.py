@@ -195,6 +195,15 @@ def test_sets_and_lists(spark):
     assert a.distinct_count(df, "k").first()["n"] == a.distinct_count(df, "k", approximate=True).first()["n"] == 2
 
 
+@pytest.mark.parametrize("held", [1, 100])
+def test_an_aggregate_of_ones_own(spark, held):
+    df = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(60)], "k long, v long").repartition(4)
+    out = a.user_aggregate(df, ("k",), list, lambda s, f: s + f.v.tolist(), lambda x, y: x + y, lambda s: (sum(s), len(s)), "total long, n long", held)
+    want = {k: [i for i in range(60) if (i % 3 if i % 5 else None) == k] for k in (None, 0, 1, 2)}
+    assert {r["k"]: (r["total"], r["n"]) for r in out.collect()} == {k: (sum(v), len(v)) for k, v in want.items()}
+    assert a.user_aggregate(df.where("v < 0"), ("k",), list, lambda s, f: s, lambda x, y: x, lambda s: (0, 0), "total long, n long").count() == 0
+
+
 @pytest.mark.parametrize("mode", sorted(a.MODES))
 def test_modes_on_an_empty_table(some, mode):
     assert a.windowed(w.fixed(some.where("false"), "1 second"), mode, "k").count() == 0

@@ -5,8 +5,11 @@ groups is any mix of "window" and key columns; with none, one row for all.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +159,36 @@ def reduce_by(df: DataFrame, expression: Callable, *groups: str, **columns: str)
     return df.groupBy(*groups).agg(*[expression(F.col(c)).alias(name) for name, c in columns.items()])
 
 
+def user_aggregate(df: DataFrame, groups: tuple[str, ...], init: Callable, add: Callable, combine: Callable, finish: Callable, schema: str, held: int = 100_000) -> DataFrame:
+    """An aggregate of one's own: init() makes a state, add(state, frame) takes a pandas frame of a group's rows in, combine
+    joins two states and finish(state) gives a tuple for the columns of schema, which follow the groups.
+
+    Every task folds its rows into states, at most held at a time, and only states are shuffled: a hot group comes
+    together from one state for each task. States are whatever pickle takes; groups are plain columns.
+    """
+    kinds, names = dict(df.dtypes), list(groups)
+    keys = ", ".join(f"`{g}` {kinds[g]}" for g in names)
+
+    def flush(states: dict) -> pd.DataFrame:
+        return pd.DataFrame([[*k, pickle.dumps(v)] for k, v in states.items()], columns=[*names, "state_"])
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for frame in frames:
+            for key, part in frame.groupby(names, dropna=False, sort=False):
+                states[key] = add(states[key] if key in states else init(), part)
+            if len(states) > held:
+                yield flush(states)
+                states = {}
+        if states:
+            yield flush(states)
+
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *finish(reduce(combine, map(pickle.loads, frame["state_"])))]])
+
+    return df.mapInPandas(partial, f"{keys}, state_ binary").groupBy(*names).applyInPandas(merge, f"{keys}, {schema}")
+
+
 #: The windowed modes by name: each takes (df, window and key columns, value, share).
 MODES: dict[str, Callable[..., DataFrame]] = {
     "SUM_BYKEY": lambda df, groups, value="v", share=None: sum_by(df, *groups, value=value),

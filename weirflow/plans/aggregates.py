@@ -247,6 +247,19 @@ def own_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(found.select("window", "k", "both.spread", "both.n"))
 
 
+@query(f"SELECT k, k2, {_SUM}, max(v) - min(v) AS spread FROM {EVENTS} GROUP BY k, k2")
+def user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum and spread by an aggregate in Python, with states that tasks combine."""
+
+    def add(state, frame):
+        return (state[0] + int(frame.v.sum()), min(state[1], int(frame.v.min())), max(state[2], int(frame.v.max())))
+
+    return a.user_aggregate(
+        events(spark, sf_dir).select("k", "k2", "v"), ("k", "k2"), lambda: (0, 1 << 62, -(1 << 62)), add,
+        lambda x, y: (x[0] + y[0], min(x[1], y[1]), max(x[2], y[2])), lambda s: (s[0], s[2] - s[1]), "sum long, spread long",
+    )
+
+
 _TOP10 = f"""SELECT w_start, w_end, k, sum, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY w_start ORDER BY sum DESC, k) AS INTEGER) AS rank FROM (
 SELECT w_start, w_end, k, {_SUM} FROM {_W} GROUP BY ALL)) WHERE rank <= 10"""
 

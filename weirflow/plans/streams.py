@@ -3,6 +3,7 @@ of the windows that the last watermark closed."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +130,27 @@ def stream_top_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query(f"SELECT k, CAST(sum(v) AS BIGINT) AS total, {_N} FROM {EVENTS} GROUP BY k")
+def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of each key in a state of our own; every micro-batch adds rows, the last of a key counts."""
+
+    def update(key, frames, state):
+        total, n = state.get if state.exists else (0, 0)
+        for frame in frames:
+            total, n = total + int(frame.v.sum()), n + len(frame)
+        state.update((total, n))
+        yield pd.DataFrame([[*key, total, n]], columns=["k", "total", "n"])
+
+    path = runtime.shared_folder(spark, "totals")
+    totals = runtime.keyed_state(_events(spark, sf_dir).select("k", "v"), ("k",), update, "k long, total long, n long", "total long, n long")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    runtime.batch_sink(totals, each, "update", f"{path}-progress", available_now=True).awaitTermination()
+    return spark.read.schema("k long, total long, n long, batch int").parquet(path).groupBy("k").agg(F.max_by("total", "batch").alias("total"), F.max_by("n", "batch").alias("n"))
+
+
 @query("""SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(upper(regexp_replace(text, '[^\\x00-\\x7F]', '.', 'g')), '[A-Z][A-Z'']*')) AS word FROM documents)
 WHERE word LIKE 'TH%' GROUP BY word""")
 def stream_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:

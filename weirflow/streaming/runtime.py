@@ -70,6 +70,12 @@ def batch_sink(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+def keyed_state(df: DataFrame, keys: tuple[str, ...], update: Callable, schema: str, state_schema: str, timeout: str = "NoTimeout", mode: str = "update") -> DataFrame:
+    """A stateful operator of one's own: update(key, frames, state) gets a key's new rows and its state, which it may get,
+    update and remove, and gives frames of schema. timeout is NoTimeout, ProcessingTimeTimeout or EventTimeTimeout."""
+    return df.groupBy(*keys).applyInPandasWithState(update, schema, state_schema, mode, timeout)
+
+
 def drain(query: StreamingQuery) -> None:
     """Works off what is there, then stops."""
     query.processAllAvailable()
