@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan
+from . import decontaminate, lang_id, license_scan, media, near_dup, packing, sharding, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,19 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from .lang_id import fit, identify
-
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return identify(docs, fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return lang_id.identify(docs, lang_id.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import count_tokens
-
-    return count_tokens(_table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +29,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
-
-    return pack(_table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import remove_repeats
-
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,28 +41,26 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import read, store
-
-    return read(store(_table(spark, sf_dir, "documents")), with_samples=False)
+    return media.read(media.store(_table(spark, sf_dir, "documents")), with_samples=False)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_dup import near_duplicates
-
-    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import remove_repeats
-
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard_digests
-
-    return shard_digests(_table(spark, sf_dir, "documents"))
+    return sharding.shard_digests(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("op") and k[2].isdigit()}
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op6_license_scan": license_scan.SQL}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
+    "op6_license_scan": license_scan.SQL,
+    "op8_minhash": near_dup.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
+}

@@ -299,3 +299,18 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
         F.when(copy, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("out", "sha")).alias("kept_sha256"),
     )
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, s, b[s:s + 49] AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS s FROM d WHERE octet_length(b) >= 50)),
+late AS (SELECT doc_id, s FROM win JOIN (SELECT k, min(doc_id) AS least FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)) USING (k) WHERE doc_id > least),
+jump AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50, true) AS fresh FROM late),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z FROM (SELECT doc_id, s, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM jump) GROUP BY doc_id, run),
+n AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS gone FROM runs GROUP BY doc_id),
+ends AS (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, octet_length(b) + 1, octet_length(b) + 1 FROM d),
+parts AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 1) AS first, a - 1 AS last FROM ends),
+kept AS (SELECT doc_id, string_agg(hex(b[first:last]), '' ORDER BY first) AS h FROM parts JOIN d USING (doc_id) WHERE last >= first GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
