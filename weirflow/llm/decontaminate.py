@@ -158,9 +158,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without any occurrence of a window, all columns."""
     rows, (windows, small) = _keyed(docs, "doc_id", "text"), _prepared(benchmark, window, BROADCAST_BYTES)
-    hit = cut(_occurrences(rows, windows, small, BROADCAST_BYTES).select(F.col("dk").alias("dk_")).distinct())
+    hit = cut(_occurrences(rows, windows, small, BROADCAST_BYTES).select("dk").distinct())
     few = _small(hit, 16, BROADCAST_BYTES)
-    return docs.join(_offer(hit, few), F.xxhash64(docs["doc_id"], docs["text"]) == F.col("dk_"), "left_anti").select(*docs.columns)
+    return docs.join(_offer(hit, few), F.xxhash64(docs["doc_id"], docs["text"]) == hit["dk"], "left_anti")
 
 
 SQL = r"""

@@ -96,7 +96,7 @@ def scan(files: DataFrame) -> DataFrame:
     Null texts have no header, rows with a null path inherit nothing; rows of one fid share what they have. Several
     licence files in one folder: those named so come first, then the best score, then the smaller name. An empty table gives an empty result.
     """
-    spark = files.sparkSession
+    spark, files = files.sparkSession, files.select("fid", "path", "text")
     units = cut(headers(files.where("fid is not null")).distinct())
     found = scored(spark, units)
     best = cut(found.groupBy("fid").agg(F.min_by(F.struct("license", "score"), F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("fid", "b.license", "b.score"))

@@ -96,8 +96,8 @@ def _features(k: int):
                 keys = band_keys(sketch(values, at)).view(np.int64)
                 some = sizes > 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(_digests(values, at).view(np.int64)), rg.flat_lists(keys[some].ravel(), some * BANDS, pa.int64())],
-                    ["doc_id", "n_shingles", "node", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(_digests(values, at).view(np.int64)), rg.flat_lists(keys[some].ravel(), some * BANDS, pa.int64())],
+                    ["doc_id", "text_hash", "n_shingles", "node", "bands"],
                 )
 
     return run
@@ -224,9 +224,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     is their own doc_id. A row with a null doc_id takes part with a null component and is kept. Repeated rows are in
     one component and get one row each. An empty table gives an empty result; other columns are ignored.
     """
+    return _grouped(docs, k, percent, id_col, text_col).drop("text_hash")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() with a hash of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    features = cut(rows.mapInArrow(_features(k), "doc_id long, n_shingles long, node long, bands array<long>"))
+    features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"))
     known = features.where("n_shingles > 0 and doc_id is not null")
     nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.min("n_shingles").alias("n")))
 
@@ -266,9 +271,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     joined = nodes.select("node", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     of_node = joined.join(least, "component").select("node", F.col("least"))
-    out = features.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    out = features.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -277,10 +282,11 @@ def _repeats(rows: DataFrame) -> bool:
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps: one document of each component, all columns."""
-    found = near_duplicates(docs, k, percent)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that near_duplicates keeps: one document of each component, all columns. Of rows that share a
+    doc_id each goes or stays by its own text."""
+    gone = _grouped(docs, k, percent, "doc_id", "text").where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 SQL = r"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_path
+from .shared import shared_path, spare
 
 SHARDS, SEED = 16, 20240917
 #: Text of a bucket; a bucket is shuffled in one task's memory.
@@ -33,29 +33,27 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
 
     slot counts from 0 in each shard without a gap; shards differ by a row at most. Every row is written once: rows
     with null ids or texts and repeated rows too. A row's bucket follows from seed and doc_id (rows without one: from
-    their text). An empty table gives an empty one. Columns named bucket_, shard or slot are refused.
+    their text). An empty table gives an empty one. Columns of docs that are named shard or slot give way to the new ones.
     """
+    docs = docs.drop("shard", "slot")
     spark, names = docs.sparkSession, docs.columns
-    taken = {"bucket_", "shard", "slot"} & set(names)
-    if taken:
-        raise ValueError(f"these names are needed: {sorted(taken)}")
+    own = spare(docs, "bucket")
     size, n = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
     buckets = max(1, -(-(size or 0) // bucket_bytes), -(-n // (bucket_bytes // 128)))
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
-    rows = docs.withColumn("bucket_", F.pmod(key, F.lit(buckets)))
+    rows = docs.withColumn(own, F.pmod(key, F.lit(buckets)))
 
     def run(table: pa.Table, start: pa.Table) -> pa.Table:
-        bucket = table.column("bucket_")[0].as_py()
-        plain = table.append_column("at_", pa.array(np.arange(table.num_rows)))
-        keys = [c for c in (id_col, text_col) if c in names]
-        order = plain.select([*keys, "at_"]).sort_by([(c, "ascending") for c in keys]).column("at_").to_numpy()
+        bucket = table.column(own)[0].as_py()
+        plain = pa.table([table.column(id_col), table.column(text_col), pa.array(np.arange(table.num_rows))], names=["id", "text", "at"])
+        order = plain.sort_by([("id", "ascending"), ("text", "ascending")]).column("at").to_numpy()
         place = start.column("first_")[0].as_py() + np.arange(table.num_rows)
         out = table.take(pa.array(order[fisher_yates(table.num_rows, seed, bucket)])).select(names)
         return out.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", shard int, slot long"
     target = path or shared_path(spark, "shards")
-    rows.groupBy("bucket_").cogroup(_first_places(rows).groupBy("of_")).applyInArrow(run, schema).write.parquet(target)
+    rows.groupBy(own).cogroup(_first_places(rows.select(F.col(own).alias("bucket_"))).groupBy("of_")).applyInArrow(run, schema).write.parquet(target)
     return spark.read.parquet(target)
 
 

@@ -43,6 +43,14 @@ def fresh(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores after it as make it new to df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/weirflow/{name}-{uuid.uuid4().hex}"
 

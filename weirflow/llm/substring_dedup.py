@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import cut, fresh, remove, shared_path
+from .shared import cut, fresh, remove, shared_path, spare
 
 SPAN, GRAM = 50, 10
 BATCHES, FAN_IN = 4, 3
@@ -98,7 +98,7 @@ def _features(span: int, gram: int):
                 raw = data.tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[offs[i] : offs[i + 1]].split())).hexdigest() for i in range(b - a)]
                 lists = rg.flat_lists(np.concatenate(fps).view(np.int64), np.array([len(x) for x in fps]), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(sha), pa.array(whole[0]), pa.array(whole[1]), lists], ["doc_id", "n_words", "sha", "ca", "cb", "fps"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(at)), pa.array(sha), pa.array(whole[0]), pa.array(whole[1]), lists], ["doc_id", "text_hash", "n_words", "sha", "ca", "cb", "fps"])
 
     return run
 
@@ -168,7 +168,7 @@ def shared_prints(features: DataFrame, batches: int = BATCHES, fan_in: int = FAN
 
 def _plan(rows: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features of all rows; the first document of each word sequence that recurs; windows to remove, by document."""
-    features = cut(rows.mapInArrow(_features(span, gram), "doc_id long, n_words long, sha string, ca long, cb long, fps array<long>"))
+    features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(span, gram), "doc_id long, text_hash long, n_words long, sha string, ca long, cb long, fps array<long>"))
     usable = features.where(f"n_words >= {span} and doc_id is not null")
     classes = usable.groupBy("ca", "cb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.any_value("fps").alias("fps"))
     classes = cut(classes)
@@ -209,9 +209,14 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFram
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features, copied, late = _plan(rows, span, gram)
-    copies = features.where("doc_id is not null").join(fresh(copied, "ca", "cb"), ["ca", "cb"]).where("doc_id > first").select("doc_id").distinct()
-    late = late.withColumnRenamed("late", "late_")
-    kept = docs.join(copies, "doc_id", "left_anti").join(late, "doc_id", "left")
+    copies = features.where("doc_id is not null").join(fresh(copied, "ca", "cb"), ["ca", "cb"]).where("doc_id > first")
+    cut_, copy = spare(docs, "late"), spare(docs, "copy")
+    late = late.select(F.col("doc_id").alias("doc_id_"), F.col("late").alias(cut_))
+    copies = copies.groupBy(F.col("doc_id").alias("doc_id_")).agg(F.collect_set("text_hash").alias(copy))
+    # Both joins are on doc_id, so docs is dealt once; of rows that share a doc_id each is judged by its own text.
+    kept = docs.join(copies, docs["doc_id"] == copies["doc_id_"], "left").drop(copies["doc_id_"])
+    kept = kept.where(F.col(copy).isNull() | ~F.array_contains(copy, F.xxhash64("text"))).drop(copy)
+    kept = kept.join(late, kept["doc_id"] == late["doc_id_"], "left").drop(late["doc_id_"])
     names, at_text = docs.columns, docs.columns.index("text")
     at_size = names.index("n_chars") if "n_chars" in names else None
 
@@ -231,9 +236,9 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFram
             columns[at_text] = texts
             if at_size is not None:
                 columns[at_size] = pc.utf8_length(texts).cast(columns[at_size].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pc.not_equal(texts, ""))
+            yield pa.RecordBatch.from_arrays(columns, schema=some.select(names).schema).filter(pc.not_equal(texts, ""))
 
-    return kept.select(*names, "late_").mapInArrow(run, docs.schema)
+    return kept.select(*names, cut_).mapInArrow(run, docs.schema)
 
 
 SQL = r"""
