@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import cut, fresh
+from .shared import cut, fresh, release
 
 SPAN, GRAM = 50, 16
 #: Starts in a segment at most, so that a mask of them is a long; bytes of segments sorted at once.
@@ -279,10 +279,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     prints = firsts.mapInArrow(_prints(span, gram), "fp long, doc_id long").repartition("fp")
     shared = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("fp", F.when(F.col("n") > hot, F.col("fp")).alias("hot"))
     wanted = cut(prints.join(shared, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"), F.collect_set("hot").alias("hots")))
+    del prints, shared
+    release(docs.sparkSession)
     segments = firsts.join(wanted, "doc_id").select("doc_id", "text", "fps", "hots").mapInArrow(_segments(span, gram), "fp long, hot boolean, seg binary, sa long, sb long, doc_id long, ca long, start int, n int")
     distinct = segments.groupBy("fp", "hot", "seg").agg(F.min("doc_id").alias("doc_id"))
     distinct = distinct.repartition(F.when(F.col("hot"), F.xxhash64("seg")).otherwise(F.col("fp"))).sortWithinPartitions("fp")
     seen = cut(distinct.select("fp", "seg", "doc_id", "hot").mapInArrow(_first_seen(span), ", ".join(f"{c} long" for c in _SEEN)))
+    del distinct
+    release(docs.sparkSession)
     strings = seen.where("ha is not null")
     least = strings.groupBy("ha", "hb").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("ha", "hb", "least")
     of_hot = strings.join(fresh(least, "ha", "hb"), ["ha", "hb"], "left").groupBy("sa", "sb").agg(F.min("first").alias("first"), F.bit_or(F.when(F.col("first") > F.col("least"), F.col("mask")).otherwise(F.lit(0))).alias("mask"))
