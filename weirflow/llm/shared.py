@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,12 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files and checkpoints of frames that are out of use.
 
     The cleaner follows garbage collection on the driver, which may not happen for long while executors' disks fill.
+    A finished execution is let go by the first collection and cleaned after the second.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fresh(df: DataFrame, *keys: str) -> DataFrame:
