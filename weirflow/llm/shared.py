@@ -33,12 +33,12 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files and checkpoints of frames that are out of use.
 
     The cleaner follows garbage collection on the driver, which may not happen for long while executors' disks fill.
-    A finished execution is let go by the first collection and cleaned after the second.
+    What holds a finished execution goes step by step: one or two collections mostly leave its files, three don't.
     """
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.4)
 
 
 def fresh(df: DataFrame, *keys: str) -> DataFrame:
