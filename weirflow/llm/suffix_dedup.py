@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import cut, fresh, release
+from .shared import cut, fresh, release, remove, shared_path
 
 SPAN, GRAM = 50, 16
 #: Starts in a segment at most, so that a mask of them is a long; bytes of segments sorted at once.
-STARTS, SORT_BYTES = 62, 8 << 20
+STARTS, SORT_BYTES = 62, 4 << 20
 SHALLOW = 2  # characters of eight bytes
 #: A fingerprint of more documents is not sorted in one task.
 HOT = 50_000
@@ -282,10 +282,15 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     del prints, shared
     release(docs.sparkSession)
     segments = firsts.join(wanted, "doc_id").select("doc_id", "text", "fps", "hots").mapInArrow(_segments(span, gram), "fp long, hot boolean, seg binary, sa long, sb long, doc_id long, ca long, start int, n int")
-    distinct = segments.groupBy("fp", "hot", "seg").agg(F.min("doc_id").alias("doc_id"))
+    # Equal segments come together in a table, so that the exchange of texts can go before segments are dealt anew.
+    path = shared_path(docs.sparkSession, "segments")
+    segments.groupBy("fp", "hot", "seg").agg(F.min("doc_id").alias("doc_id")).write.parquet(path)
+    release(docs.sparkSession)
+    distinct = docs.sparkSession.read.parquet(path)
     distinct = distinct.repartition(F.when(F.col("hot"), F.xxhash64("seg")).otherwise(F.col("fp"))).sortWithinPartitions("fp")
     seen = cut(distinct.select("fp", "seg", "doc_id", "hot").mapInArrow(_first_seen(span), ", ".join(f"{c} long" for c in _SEEN)))
     del distinct
+    remove(docs.sparkSession, path)
     release(docs.sparkSession)
     strings = seen.where("ha is not null")
     least = strings.groupBy("ha", "hb").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("ha", "hb", "least")
