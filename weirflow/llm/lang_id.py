@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
+from .shared import small_batches
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
 #: The sample's bound: so many rows of a language are expected in it, of at most so many languages.
@@ -111,6 +112,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample(rows: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list:
     """Subword shares of about per_lang rows of each of the commonest max_langs languages of rows (h, lang, text)."""
+    small_batches(rows.sparkSession)
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return []
@@ -182,11 +184,13 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     score is below the model's least, which keeps its nearest language. Without labelled rows all is und. Repeated
     rows get one row each, null ids stay, other columns are ignored, an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs whose language is known, all columns; texts are judged where they lie, without a shuffle."""
+    small_batches(docs.sparkSession)
     inner, columns = _predict(model or fit(docs)), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

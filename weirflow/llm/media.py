@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
+from .shared import small_batches
 
 #: A payload is a whole number of rows of so many samples; a picture has at most webp.MAX_SIDE of them.
 ROW = 576
@@ -57,6 +58,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     media.append(_stored(np.frombuffer(raw + b"\xff" * (-len(raw) % ROW if raw else ROW), np.uint8)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 

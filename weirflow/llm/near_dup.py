@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import components, cut, fresh, release
+from .shared import components, cut, fresh, release, small_batches
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -231,6 +231,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     """near_duplicates() with a hash of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"))
     known = features.where("n_shingles > 0 and doc_id is not null")
     nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.min("n_shingles").alias("n")))

@@ -47,6 +47,14 @@ def fresh(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python so many rows at a time at most: both sides hold a batch, and rows can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """name, or name with as many underscores after it as make it new to df."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import cut, fresh, remove, shared_path, spare
+from .shared import cut, fresh, remove, shared_path, small_batches, spare
 
 SPAN, GRAM = 50, 10
 BATCHES, FAN_IN = 4, 3
@@ -168,6 +168,7 @@ def shared_prints(features: DataFrame, batches: int = BATCHES, fan_in: int = FAN
 
 def _plan(rows: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features of all rows; the first document of each word sequence that recurs; windows to remove, by document."""
+    small_batches(rows.sparkSession)
     features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(span, gram), "doc_id long, text_hash long, n_words long, sha string, ca long, cb long, fps array<long>"))
     usable = features.where(f"n_words >= {span} and doc_id is not null")
     classes = usable.groupBy("ca", "cb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.any_value("fps").alias("fps"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import cut, fresh, release, remove, shared_path
+from .shared import cut, fresh, release, remove, shared_path, small_batches
 
 SPAN, GRAM = 50, 16
 #: Starts in a segment at most, so that a mask of them is a long; bytes of segments sorted at once.
@@ -271,6 +271,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int
     bytes nor cause a loss; rows of one doc_id don't affect each other. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     features = cut(rows.mapInArrow(_features, "doc_id long, n_bytes long, sha string, ca long, cb long"))
     classes = features.where(f"n_bytes >= {span} and doc_id is not null").groupBy("ca", "cb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     classes = cut(classes)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged as rg
+from .shared import small_batches
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 _counters: dict = {}
@@ -45,4 +46,5 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None, n
                 n = counter.counts(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(offs[1:] - offs[:-1]), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
