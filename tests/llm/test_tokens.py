@@ -154,3 +154,14 @@ def test_neighbours_are_the_best_by_bm25():
             total += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
         own[j] = total
     assert np.allclose(scores, [own[j] for j in range(n)])
+
+
+def test_many_blocks_are_searched_as_one_corpus(spark):
+    docs = sorted(corpus(4, 120))
+    ids = packing._encoded([t or "" for _, t in docs], None)
+    want = [[(docs[d][0], start, taken) for d, start, taken in s] for s in packing.fill(ids, 256)]
+    for more in ({}, {"top": 7}):
+        found = {}
+        for r in packing.pack(frame(spark, docs), length=256, shard_bytes=4096, with_ids=False, **more).collect():
+            found.setdefault(r["sequence_id"], []).append((r["offset"], (r["doc_id"], r["start"], r["length"])))
+        assert [[p for _, p in sorted(found[k])] for k in sorted(found)] == want
