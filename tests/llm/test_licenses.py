@@ -42,3 +42,20 @@ def test_no_python_on_the_main_path(spark, data):
 def test_templates_find_themselves(spark):
     found = scanned(spark, [(i, f"d{i}/f", f"code\n// {t}\ncode") for i, (_, t) in enumerate(ls.TEMPLATES)])
     assert [found[i][0] for i in range(len(ls.TEMPLATES))] == [n for n, _ in ls.TEMPLATES]
+
+
+def test_whole_licence_files_and_headers_of_several_lines(spark):
+    rows, want = [], {}
+    for i, (name, text) in enumerate(ls.texts()):
+        rows.append((i, f"d{i}/COPYING", f"Copyright 2001 Some One, all of them\n\n{text}"))
+        rows.append((100 + i, f"d{i}/sub/a.c", "int x;\n"))
+        want |= {i: (name, "own", None), 100 + i: (name, "inherited", f"d{i}")}
+    head = dict((f.name, f.read_text()) for f in ls.Path(ls.__file__).with_name("licences").glob("*.header.txt"))
+    marks = {"Apache-2.0": "# {}", "GPL-2.0": " * {}", "MPL-2.0": "// {}", "LGPL-2.1": "{}"}
+    for i, (name, mark) in enumerate(marks.items(), 200):
+        lines = "\n".join(mark.format(x) for x in head[f"{name}.header.txt"].split("\n"))
+        rows.append((i, f"x{i}/a.c", f"/*\n{lines}\n*/\nint x;\n" if "#" not in mark else f"{lines}\nint x;\n"))
+        want[i] = (name, "own", None)
+    rows.append((300, "y/license_scan.py", "def license(path):\n    return path\n" * 9))
+    want[300] = (None, None, None)
+    assert scanned(spark, rows) == want

@@ -1,7 +1,8 @@
 r"""License scans in DataFrame operations alone: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-A file's headers are its lines with a word of licensing; a file named like a licence (LICENSE, COPYING, NOTICE) is
-compared as a whole too. Words are `[a-z0-9.+-]+` of the lower-cased line. Inverse document frequencies come from all
+A file's headers are its lines with a word of licensing. Comments of several lines with such a word, and files named like
+a licence (LICENSE, COPYING, NOTICE), are compared as a whole with the full texts and standard headers in `licences`, by
+TF-IDF of these texts with dampened term counts; what is found so comes before what single lines say. Words are `[a-z0-9.+-]+` of the lower-cased line. Inverse document frequencies come from all
 headers of the corpus and the templates. A header belongs to the template of the highest cosine, if that is LEAST or
 more. A directory has the license of its licence file: one named so, or one whose headers make up most of its words.
 Files without a license of their own take that of the nearest directory above them that has one; directories are
@@ -10,6 +11,9 @@ looked up once each, however many files they hold.
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ LEAST = 0.6
 BROADCAST_ROWS = 200_000
 CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby granted|redistribution and use"
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+#: What begins a line of a comment; a mark in place of the lines between comments.
+COMMENT, _GAP = r"^\s*(#+|//+|/?\*+/?|--+|;+|%+)", "\x01"
 _WORD, _EDGE = r"[a-z0-9.+-]+", ".-"
 
 #: License names and the sentences by which texts name them; several for one license.
@@ -43,6 +49,13 @@ TEMPLATES = (
 )
 
 
+@cache
+def texts() -> list[tuple[str, str]]:
+    """(license, text) of the licences and standard headers that come with the package."""
+    files = sorted(Path(__file__).with_name("licences").glob("*.txt"))
+    return [(f.name.rsplit(".", 2)[0], f.read_text(encoding="utf-8")) for f in files]
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: F.btrim(w, F.lit(_EDGE))), lambda w: w != "")
 
@@ -53,11 +66,36 @@ def _terms(units: DataFrame, *keys: str) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(fid, at, unit) of files (fid, path, text): lines with a cue, numbered from 1, and whole licence files as 0."""
+    """(fid, at, unit) of files (fid, path, text): lines with a cue, numbered from 1."""
     some = files.where(F.col("text").rlike(CUE))
-    lines = some.select("fid", F.posexplode(F.split("text", "\n")).alias("at", "unit")).where(F.col("unit").rlike(CUE)).withColumn("at", F.col("at") + 1)
-    whole = some.where(F.col("path").rlike(NAMED)).select("fid", F.lit(0).alias("at"), F.col("text").alias("unit"))
-    return lines.unionByName(whole)
+    return some.select("fid", F.posexplode(F.split("text", "\n")).alias("at", "unit")).where(F.col("unit").rlike(CUE)).withColumn("at", F.col("at") + 1)
+
+
+def passages(files: DataFrame) -> DataFrame:
+    """(fid, at, unit) of files (fid, path, text): files named like a licence as 0, comments of several lines with a cue as 1, 2, ..."""
+    some = files.where(F.col("text").rlike(CUE))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike(COMMENT), F.regexp_replace(x, COMMENT, "")).otherwise(_GAP))
+    marked = F.split(F.array_join(lines, "\n"), _GAP)
+    starred = F.regexp_extract_all("text", F.lit(r"(?s)/\*(.*?)\*/"), F.lit(1))
+    blocks = F.filter(F.concat(marked, starred), lambda x: F.btrim(x, F.lit(" \t\r\n")).contains("\n") & x.rlike(CUE))
+    blocks = some.select("fid", F.posexplode(blocks).alias("at", "unit")).withColumn("at", F.col("at") + 1)
+    return blocks.unionByName(files.where(F.col("path").rlike(NAMED) & F.col("text").isNotNull()).select("fid", F.lit(0).alias("at"), F.col("text").alias("unit")))
+
+
+def matched(spark: SparkSession, units: DataFrame) -> DataFrame:
+    """(fid, license, score): the nearest of texts() to any passage of a file, if its cosine is LEAST or more."""
+    weight = (1 + F.log("tf")) * F.col("idf")
+    model = _terms(spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(texts())], "tid int, license string, unit string"), "tid", "license")
+    rare = F.log(F.lit(1.0 + len(texts())))
+    idf = model.groupBy("term").agg((rare - F.log(1.0 + F.count(F.lit(1))) + 1).alias("idf"))
+    weights = model.join(idf, "term").select("tid", "license", "term", weight.alias("wt"))
+    norms = weights.groupBy("tid").agg(F.sqrt(F.sum(F.col("wt") ** 2)).alias("nt"))
+    own = _terms(units, "fid", "at").join(F.broadcast(idf), "term", "left").withColumn("idf", F.coalesce("idf", rare + 1)).select("fid", "at", "term", weight.alias("w"))
+    own = cut(own)
+    norm = own.groupBy("fid", "at").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("n"))
+    dots = own.join(F.broadcast(weights.join(F.broadcast(norms), "tid")), "term").groupBy("fid", "at", "tid", "license", "nt").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
+    cosine = dots.join(norm, ["fid", "at"]).select("fid", "license", F.round(F.col("dot") / (F.col("n") * F.col("nt")), 6).alias("score")).where(F.col("score") >= LEAST)
+    return cosine.groupBy("fid").agg(F.min_by(F.struct("license", "score"), F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("fid", "b.license", "b.score")
 
 
 def scored(spark: SparkSession, units: DataFrame) -> DataFrame:
@@ -92,16 +130,21 @@ def _folder(path: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """(fid, path, license, score, origin, folder) for every row of files (fid, path, text).
 
-    origin is 'own' with the score of the file's best header, 'inherited' with the folder it comes from, or null.
+    origin is 'own' with the score of the file's best passage, or else header, 'inherited' with the folder it comes from, or null.
     Null texts have no header, rows with a null path inherit nothing; rows of one fid share what they have. Several
     licence files in one folder: those named so come first, then the best score, then the smaller name. An empty table gives an empty result.
     """
     spark, files = files.sparkSession, files.select("fid", "path", "text")
     units = cut(headers(files.where("fid is not null")).distinct())
     found = scored(spark, units)
-    best = cut(found.groupBy("fid").agg(F.min_by(F.struct("license", "score"), F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("fid", "b.license", "b.score"))
+    best = found.groupBy("fid").agg(F.min_by(F.struct("license", "score"), F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("fid", "b.license", "b.score")
+    whole = cut(passages(files.where("fid is not null")).distinct())
+    if not whole.isEmpty():
+        whole = matched(spark, whole)
+        best = best.join(whole, "fid", "left_anti").unionByName(whole)
+    best = cut(best)
     # Licence files: named so, or of headers for the most part.
-    sizes = units.where("at > 0").groupBy("fid").agg(F.sum(F.size(_words(F.col("unit")))).alias("in_headers"))
+    sizes = units.groupBy("fid").agg(F.sum(F.size(_words(F.col("unit")))).alias("in_headers"))
     marked = files.join(best.join(sizes, "fid", "left"), "fid").where("path is not null")
     named = F.col("path").rlike(NAMED)
     lead = named | (2 * F.col("in_headers") > F.size(_words(F.col("text"))))
