@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weirflow.llm import substring_dedup, suffix_dedup
+from weirflow.llm.shared import shared_path
 
 from .helpers import byte_repeats, corpus, frame, prose, word_repeats
 
@@ -56,8 +57,8 @@ def test_log_finds_what_is_old_and_compacts(spark):
         assert {r["fp"] for r in log.add(spark.createDataFrame(rows, "fp long, doc_id long")).collect()} == want
         seen |= here
         assert len(log.runs) == 1
-    history = [r["fp"] for r in log.history().collect()]
-    assert sorted(history) == sorted(seen)
+    all_of = spark.createDataFrame([(fp,) for fp in seen], "fp long")
+    assert {r["fp"] for r in log.postings(all_of).collect()} == set(seen)
     log.drop()
 
 
@@ -103,5 +104,55 @@ def test_deep_shallow_order(parts, span):
 def test_a_log_of_any_number_of_batches(spark):
     rows = spark.createDataFrame([(i, [i % 7, 100 + i]) for i in range(40)], "doc_id long, fps array<long>")
     for batches, fan_in in ((1, 2), (4, 3), (7, 2)):
-        assert {r["fp"] for r in substring_dedup.shared_prints(rows, batches, fan_in).collect()} == set(range(7))
-    assert substring_dedup.shared_prints(rows.where(F.lit(False))).count() == 0
+        for some, want in ((rows, {(i % 7, i) for i in range(40)}), (rows.where(F.lit(False)), set())):
+            log = substring_dedup.FingerprintLog(spark, fan_in=fan_in)
+            assert set(map(tuple, substring_dedup.shared_postings(some, log, batches).collect())) == want
+            log.drop()
+
+
+def test_a_delivery_is_judged_against_a_log_opened_again(spark):
+    """Three deliveries, each by a new object on the same folder, give the rows of one run over all."""
+    rows = [(i, t) for i, t in corpus(5, 70)]
+    want = {i: x[:3] for i, x in word_repeats(rows).items()}
+    path = shared_path(spark, "log-test")
+    for low, high in ((0, 30), (30, 50), (50, 1000)):
+        log = substring_dedup.FingerprintLog(spark, path, fan_in=3)
+        new = frame(spark, [r for r in rows if low <= r[0] < high])
+        old = frame(spark, [r for r in rows if r[0] < low])
+        found = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(new, log=log, earlier=old).collect()}
+        assert found == {i: x for i, x in want.items() if low <= i < high}
+        log.close()
+    assert any(x[1] for i, x in want.items() if i >= 50)
+    substring_dedup.FingerprintLog(spark, path).drop()
+
+
+def thue_morse(n, a, b, between=""):
+    return between.join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_texts_that_collide_under_polynomials_stay(spark):
+    """Swapped Thue-Morse sequences have equal polynomial hashes modulo 2**64 under every odd base; they aren't copies."""
+    rows = []
+    for n in (128, 1024, 4096):
+        rng = random.Random(n)
+        tail, ends = " ".join(prose(rng, 1) for _ in range(39)), [rng.choice("cdefghij") for _ in range(39)]
+        rows += [thue_morse(n, "a", "b") + "".join(ends), thue_morse(n, "b", "a") + "".join(ends)]
+        rows += [thue_morse(n, "on", "off", " ") + " " + tail, thue_morse(n, "off", "on", " ") + " " + tail]
+    rows = list(enumerate(rows))
+    df = frame(spark, rows)
+    want = word_repeats(rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(df).collect()} == {i: x[:3] for i, x in want.items()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(df).collect()} == byte_repeats(rows)
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.cut_repeats(df).collect()} == {i: x[3] for i, x in want.items() if x[3]}
+
+
+def test_a_very_long_text(spark):
+    """A megabyte of words, one of them of 200,000 letters, and a part of it in a later document."""
+    rng = random.Random(8)
+    long = prose(rng, 100_000) + " " + "x" * 200_000 + " " + prose(rng, 60)
+    rows = [(1, long), (2, "before " + long[-300_000:] + " after")]
+    df = frame(spark, rows)
+    found = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(df).collect()}
+    assert found == {i: x[:3] for i, x in word_repeats(rows).items()}
+    removed = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()}
+    assert removed == {1: 0, 2: len(long[-300_000:].encode()) + 1 - (not long[-300_001] == " ")}

@@ -44,7 +44,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     first, values = rg.windows(rg.LANE_A, hashes, at, k)
     cuts = np.searchsorted(first, at)
     short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < k))
-    whole = rg.LANE_A.spans(rg.LANE_A.prefix(hashes), at[short], at[short + 1])
+    whole = [int.from_bytes(rg.LANE_A.digest(hashes[at[i] : at[i + 1]], 8), "little") for i in short.tolist()]
     few, sets, sizes = dict(zip(short.tolist(), whole, strict=True)), [], np.zeros(len(offs), np.int64)
     for i in range(len(offs) - 1):
         s = np.unique(values[cuts[i] : cuts[i + 1]]) if i not in few else np.array([few[i]], np.uint64)
@@ -83,8 +83,9 @@ def band_keys(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each sorted set."""
-    return rg.LANE_B.spans(rg.LANE_B.prefix(rg.mix(values + _GOLD)), at[:-1], at[1:])
+    """128 bits for each sorted set, as two integers."""
+    found = b"".join(rg.LANE_B.digest(values[at[i] : at[i + 1]]) for i in range(len(at) - 1))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
 def _features(k: int):
@@ -96,18 +97,17 @@ def _features(k: int):
                 keys = band_keys(sketch(values, at)).view(np.int64)
                 some = sizes > 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(_digests(values, at).view(np.int64)), rg.flat_lists(keys[some].ravel(), some * BANDS, pa.int64())],
-                    ["doc_id", "text_hash", "n_shingles", "node", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), *(pa.array(x) for x in _digests(values, at).T.copy()), rg.flat_lists(keys[some].ravel(), some * BANDS, pa.int64())],
+                    ["doc_id", "text_hash", "n_shingles", "ca", "cb", "bands"],
                 )
 
     return run
 
 
 def _verify(k: int, percent: int):
-    def one(text: str) -> tuple[int, np.ndarray]:
+    def one(text: str) -> np.ndarray:
         data = np.frombuffer(text.encode(), np.uint8)
-        values, at = shingle_sets(data, np.array([0, len(data)]), k)
-        return int(_digests(values, at).view(np.int64)[0]), values
+        return shingle_sets(data, np.array([0, len(data)]), k)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: dict[int, np.ndarray] = {}
@@ -119,7 +119,7 @@ def _verify(k: int, percent: int):
                     if v[i] not in near:
                         if len(near) >= 64:
                             near.pop(next(iter(near)))
-                        near[v[i]] = one(other[i].as_py())[1]
+                        near[v[i]] = one(other[i].as_py())
                     x, y = values[at[i - a] : at[i - a + 1]], near[v[i]]
                     if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                         both = len(np.intersect1d(x, y, assume_unique=True))
@@ -135,9 +135,10 @@ def _same_set(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in rg.blocks(batch.column(1)):
-                found = _digests(*shingle_sets(data, offs, k)).view(np.int64)
+                found = _digests(*shingle_sets(data, offs, k))
                 part = batch.slice(a, b - a)
-                yield part.filter(pa.array(found == part.column(0).to_numpy()))
+                same = (found[:, 0] == part.column(2).to_numpy()) & (found[:, 1] == part.column(3).to_numpy())
+                yield part.select(["node", "text"]).filter(pa.array(same))
 
     return run
 
@@ -232,18 +233,20 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     small_batches(spark)
-    features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"))
+    features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, ca long, cb long, bands array<long>"))
     known = features.where("n_shingles > 0 and doc_id is not null")
-    nodes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.min("n_shingles").alias("n")))
+    # A node is a number of its own, given to each distinct set; a hash of 64 bits might stand for two of them.
+    nodes = known.groupBy("ca", "cb").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.min("n_shingles").alias("n"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    members = nodes.select("node", "rep", "n", F.explode("bands").alias("band"))
+    members = nodes.select("node", "rep", F.explode("bands").alias("band"))
     shared = members.select("band").groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(members.join(shared, "band"))
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     centre = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("first"), F.col("node").alias("v"))).alias("c")).select("band", "c.v")
     tried = cut(members.join(centre, "band").where("node != v").select(F.col("node").alias("u"), "v").distinct())
-    involved = members.select("node", "rep").distinct()
-    texts = rows.join(involved, F.col("doc_id") == F.col("rep")).select("node", "text").mapInArrow(_same_set(k), "node long, text string")
+    involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "ca", "cb")
+    texts = rows.join(involved, F.col("doc_id") == F.col("rep")).select("node", "text", "ca", "cb").mapInArrow(_same_set(k), "node long, text string")
     texts = cut(texts.dropDuplicates(["node"]) if _repeats(rows) else texts)
     del members, shared, degree, centre, involved
     release(spark)
@@ -269,10 +272,10 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     del open_, more, texts, tried, links
     release(spark)
 
-    joined = nodes.select("node", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = nodes.select("node", "ca", "cb", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    of_node = joined.join(least, "component").select("node", F.col("least"))
-    out = features.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    of_set = joined.join(least, "component").select("ca", "cb", "least")
+    out = features.select("doc_id", "text_hash", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in ("ca", "cb"))).join(fresh(of_set, "ca", "cb"), ["ca", "cb"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -1,12 +1,13 @@
-"""Ragged text in numpy: Arrow string columns as flat UTF-8 bytes, words as spans, rolling hashes.
+"""Ragged text in numpy: Arrow string columns as flat UTF-8 bytes, words as spans, hashes of words and of runs of words.
 
-Nothing here works row by row. A block of rows is one byte array with row offsets; a word is a pair of
-byte positions; hashes of words and of runs of words come from prefix sums of a polynomial modulo 2**64.
-Blocks are bounded by bytes, so memory follows the longest single text, not the batch.
+Nothing here works row by row. A block of rows is one byte array with row offsets; a word is a pair of byte positions. Words
+are hashed eight bytes at a time and runs by doubling, with a mixing step at each joint: there is no polynomial whose
+structure a text could meet. Blocks are bounded by bytes, so memory follows the longest single text, not the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,41 +21,60 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def _odd_powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Lane:
-    """One family of polynomial hashes: a byte table, an odd base and its inverse, grown on demand."""
+    """One family of 64-bit hashes; families of different seeds are independent."""
+
+    #: Longer words are hashed by blake2b, one by one.
+    LONG = 64
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.Philox(seed))
-        self.table = rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-        self.base = (int(rng.integers(1, 1 << 62)) << 2 | 3) & (1 << 64) - 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * BLOCK_BYTES)
-            self.up, self.down = _odd_powers(self.base, size), _odd_powers(self.inverse, size)
-        return self.up[:n], self.down[:n]
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        up, _ = self.powers(len(values) + 1)
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * up[:-1], out=out[1:])
-        return out
+        self.a, self.b, self.c = (rng.integers(1, 1 << 63, 3, dtype=U64) << U64(1) | U64(1)).tolist()
+        self.key = seed.to_bytes(8, "little")
 
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Mixed hash of each span values[starts:ends]."""
-        _, down = self.powers(len(prefix))
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * self.table[1])
+    def join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return mix(x * U64(self.a) + y * U64(self.b))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.spans(self.prefix(self.table[data]), starts, ends)
+        """The hash of each span data[starts:ends]."""
+        sizes = ends - starts
+        out, live, eight = mix(sizes.astype(U64) * U64(self.a) + U64(self.c)), np.flatnonzero(sizes <= self.LONG), eights(data)
+        for k in range(0, self.LONG, 8):
+            live = live[sizes[live] > k]
+            if not len(live):
+                break
+            part = eight[starts[live] + k] & _KEPT[np.minimum(sizes[live] - k, 8)]
+            out[live] = mix((out[live] ^ part) * U64(self.b) + U64(self.c))
+        for i in np.flatnonzero(sizes > self.LONG).tolist():
+            out[i] = int.from_bytes(self.digest(data[starts[i] : ends[i]], 8), "little")
+        return out
+
+    def digest(self, values: np.ndarray, size: int = 16) -> bytes:
+        """Strong digest of an array."""
+        return hashlib.blake2b(values.tobytes(), digest_size=size, key=self.key).digest()
+
+    def runs(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        """The hash of hashes[i : i + k] for every i up to len(hashes) - k, by doubling."""
+        n, part, width, out, have = len(hashes), hashes, 1, None, 0
+        while True:
+            if k & width:
+                out = part if out is None else self.join(out[: n - have - width + 1], part[have : n - width + 1])
+                have += width
+                if have == k:
+                    return out[: n - k + 1]
+            part = self.join(part[: n - 2 * width + 1], part[width:])
+            width *= 2
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a little-endian number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, 0, (1,))
+
+
+#: Masks of the first n bytes of eight.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +144,7 @@ def windows(lane: Lane, hashes: np.ndarray, word_offs: np.ndarray, k: int) -> tu
         return np.zeros(0, np.int64), np.zeros(0, U64)
     ends = np.repeat(word_offs[1:], np.diff(word_offs))
     first = np.flatnonzero(np.arange(n) + k <= ends)
-    return first, lane.spans(lane.prefix(hashes), first, first + k)
+    return first, lane.runs(hashes, k)[first]
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

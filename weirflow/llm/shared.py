@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
@@ -12,13 +11,16 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else a folder of our own (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    There is no other: a folder of the driver's own machine would be another one on each executor.
+    """
     context = spark.sparkContext
+    set_already = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
     if not folder:
-        set_already = context._jsc.sc().getCheckpointDir()
-        folder = set_already.get() if set_already.isDefined() else tempfile.mkdtemp(prefix="weirflow-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if set_already.isEmpty():
         context.setCheckpointDir(folder)
     return folder
 
@@ -72,6 +74,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete tables in path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(at)]
+    return [n for n in names if system.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 

@@ -2,19 +2,25 @@
 
 Every window of SPAN consecutive words has a fingerprint, the least hash of its runs of GRAM words; neighbouring
 windows mostly share it, so a document has about one fingerprint for 21 words. Equal windows have equal
-fingerprints. The index is a log of immutable runs, each a table of fingerprints in hash partitions, sorted. A
-batch of documents, in ascending doc_id, is merge-joined with the runs: what is found there or twice in the batch
-is shared, the rest becomes a new run; when FAN_IN runs have gathered they are compacted into one. Only windows
-under shared fingerprints are then verified, by two independent 64-bit hashes of their full word sequence, and
-the least doc_id of each is the one that keeps its words.
+fingerprints. The index is a log of immutable runs of postings (fp, doc_id), each bucketed by fp and sorted. A batch of
+documents is merge-joined with the runs, which need no exchange for it: fingerprints of the history, or of two documents
+of the batch, are shared. The batch becomes a new run; when FAN_IN runs have gathered they are
+compacted into one. Only windows under shared fingerprints are then verified, by two independent 64-bit hashes of their
+full word sequence, and the least doc_id of each is the one that keeps its words.
 
-Whole copies are settled before: of documents with the same word sequence only the least doc_id enters the index.
+A log stays in its folder and can be opened again for the next delivery (FingerprintLog(spark, path)); remove_repeats()
+then judges the new documents against all earlier ones and reads again only those texts that share a fingerprint.
+
+Whole copies within a delivery are settled before: of documents with the same word sequence (by SHA-256) only the least
+doc_id enters the index.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -24,65 +30,106 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ragged as rg
-from .shared import cut, fresh, remove, shared_path, small_batches, spare
+from .shared import cut, folders, fresh, remove, shared_path, small_batches, spare
 
 SPAN, GRAM = 50, 10
 BATCHES, FAN_IN = 4, 3
 
 
 class FingerprintLog:
-    """Sorted immutable runs of fingerprints in the shared folder; probe() a batch, then append() what is new."""
+    """Sorted immutable runs of postings (fp, doc_id) in the shared folder, bucketed by fp.
+
+    A run's folder is run-<number>-<buckets>; it counts when it is complete, and a compacted run takes the place of all
+    with smaller numbers. So opening a path again finds what earlier sessions have put there.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
         self.spark, self.path, self.fan_in = spark, path or shared_path(spark, "fingerprints"), fan_in
-        self.runs: list[str] = []
-        self.number = 0
-
-    def _write(self, fps: DataFrame) -> str:
-        self.number += 1
-        run = f"{self.path}/run-{self.number:05d}"
-        fps.select("fp", "old", "shared").sortWithinPartitions("fp").write.parquet(run)
-        return run
-
-    def history(self) -> DataFrame | None:
-        return self.spark.read.parquet(*self.runs).where("not old") if self.runs else None
+        self.name = f"weirflow_log_{uuid.uuid4().hex}"
+        self.runs: dict[int, str] = {}
+        found = sorted((int(n.split("-")[1]), n) for n in folders(spark, self.path) if n.startswith("run-"))
+        whole = [number for number, n in found if n.endswith("-whole")]
+        for number, n in found:
+            if not whole or number >= whole[-1]:
+                self._table(number, int(n.split("-")[2]), n)
+
+    def _table(self, number: int, buckets: int, folder: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE {self.name}_{number} (fp BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {buckets} BUCKETS LOCATION '{self.path}/{folder}'"
+        )
+        self.runs[number] = folder
+
+    def _write(self, postings: DataFrame, whole: bool = False) -> None:
+        number, buckets = max(self.runs, default=0) + 1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        folder = f"run-{number:06d}-{buckets}" + "-whole" * whole
+        self._table(number, buckets, folder)
+        postings.repartition(buckets, "fp").write.mode("append").insertInto(f"{self.name}_{number}")
+
+    def _run(self, number: int) -> DataFrame:
+        return self.spark.table(f"{self.name}_{number}")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes a batch (fp, doc_id); returns its shared fingerprints (fp): in the history, or in two documents of it."""
-        seen = batch.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        history = self.history()
-        if history is None:
-            marked = seen.withColumn("old", F.lit(False))
-        else:
-            marked = seen.join(history.select("fp", F.lit(True).alias("old")).hint("merge"), "fp", "left").withColumn("old", F.coalesce("old", F.lit(False)))
-        run = self._write(marked.withColumn("shared", F.col("old") | (F.col("first") < F.col("last"))))
-        shared = cut(self.spark.read.parquet(run).where("shared").select("fp"))
-        self.runs.append(run)
+        history = list(self.runs)
+        self._write(batch)
+        own = self._run(max(self.runs))
+        seen = own.groupBy("fp").agg((F.min("doc_id") < F.max("doc_id")).alias("shared"))
+        for i, number in enumerate(history):
+            old = self._run(number).groupBy("fp").agg(F.lit(True).alias(f"old{i}"))
+            seen = seen.join(old.hint("merge"), "fp", "left").select("fp", (F.col("shared") | F.coalesce(f"old{i}", F.lit(False))).alias("shared"))
+        shared = cut(seen.where("shared").select("fp"))
         if len(self.runs) >= self.fan_in:
             self.compact()
         return shared
 
+    def postings(self, shared: DataFrame) -> DataFrame:
+        """(fp, doc_id) of all documents under the fingerprints shared (fp, distinct)."""
+        return reduce(DataFrame.unionByName, (self._run(n).join(shared.hint("merge"), "fp") for n in self.runs))
+
     def compact(self) -> None:
         """All runs into one; the old ones go when the new one is complete."""
-        old = self.runs
-        self.runs = [self._write(self.history().repartition("fp"))]
-        for run in old:
-            remove(self.spark, run)
+        old = dict(self.runs)
+        self._write(reduce(DataFrame.unionByName, (self._run(n) for n in old)), whole=True)
+        for number in old:
+            self._forget(number)
+
+    def _forget(self, number: int) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}_{number}")
+        remove(self.spark, f"{self.path}/{self.runs.pop(number)}")
+
+    def close(self) -> None:
+        """Lets the session forget the log; its files stay."""
+        for number in self.runs:
+            self.spark.sql(f"DROP TABLE {self.name}_{number}")
+        self.runs = {}
 
     def drop(self) -> None:
+        self.close()
         remove(self.spark, self.path)
-        self.runs = []
 
 
 def _window_prints(hashes: np.ndarray, at: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, fingerprint) of every window of span words."""
-    first, _ = rg.windows(rg.LANE_A, hashes, at, span)
-    grams, values = rg.windows(rg.LANE_A, hashes, at, gram)
-    if not len(first):
-        return first, values[:0]
-    full = np.zeros(len(hashes), np.uint64)
-    full[grams] = values
-    return first, rg.sliding_min(full, span - gram + 1)[first]
+    n = len(hashes)
+    if n < span:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.arange(n) + span <= np.repeat(at[1:], np.diff(at)))
+    return first, rg.sliding_min(rg.LANE_A.runs(hashes, gram), span - gram + 1)[first]
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int, first: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the windows of span words that begin at first."""
+    return tuple(lane.runs(lane.words(data, starts, ends), span)[first] if len(starts) >= span else np.zeros(0, np.uint64) for lane in (rg.LANE_A, rg.LANE_B))
+
+
+def _joined(raw: bytes, offs: np.ndarray, i: int) -> bytes:
+    return b" ".join(raw[offs[i] : offs[i + 1]].split())
+
+
+def halves(digests: list[bytes]) -> list[pa.Array]:
+    """The first 128 bits of each digest as two columns."""
+    both = np.frombuffer(b"".join(d[:16] for d in digests), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
 
 def _features(span: int, gram: int):
@@ -90,36 +137,31 @@ def _features(span: int, gram: int):
         for batch in batches:
             for a, b, data, offs in rg.blocks(batch.column(1)):
                 starts, ends, at = rg.words(data, offs)
-                h = rg.LANE_A.words(data, starts, ends)
-                first, prints = _window_prints(h, at, span, gram)
+                first, prints = _window_prints(rg.LANE_A.words(data, starts, ends), at, span, gram)
                 cuts = np.searchsorted(first, at)
                 fps = [np.unique(prints[cuts[i] : cuts[i + 1]]) for i in range(b - a)]
-                whole = [lane.spans(lane.prefix(x), at[:-1], at[1:]).view(np.int64) for lane, x in ((rg.LANE_A, h), (rg.LANE_B, rg.LANE_B.words(data, starts, ends)))]
                 raw = data.tobytes()
-                sha = [hashlib.sha256(b" ".join(raw[offs[i] : offs[i + 1]].split())).hexdigest() for i in range(b - a)]
+                sha = [hashlib.sha256(_joined(raw, offs, i)).digest() for i in range(b - a)]
                 lists = rg.flat_lists(np.concatenate(fps).view(np.int64), np.array([len(x) for x in fps]), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(at)), pa.array(sha), pa.array(whole[0]), pa.array(whole[1]), lists], ["doc_id", "text_hash", "n_words", "sha", "ca", "cb", "fps"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(at)), pa.array([x.hex() for x in sha]), *halves(sha), lists], ["doc_id", "text_hash", "n_words", "sha", "ca", "cb", "fps"])
 
     return run
 
 
 def _verified(span: int, gram: int):
-    """Both hashes of every distinct window that has one of the row's shared fingerprints."""
+    """Both hashes of every window that has one of the row's shared fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(2)
             for a, b, data, offs in rg.blocks(batch.column(1)):
                 starts, ends, at = rg.words(data, offs)
-                h = rg.LANE_A.words(data, starts, ends)
-                first, prints = _window_prints(h, at, span, gram)
+                first, prints = _window_prints(rg.LANE_A.words(data, starts, ends), at, span, gram)
                 cuts, keep = np.searchsorted(first, at), np.zeros(len(first), bool)
                 for i in range(b - a):
                     keep[cuts[i] : cuts[i + 1]] = np.isin(prints[cuts[i] : cuts[i + 1]], lists[a + i].values.to_numpy().view(np.uint64))
                 first = first[keep]
-                other = rg.LANE_B.words(data, starts, ends)
-                one = rg.LANE_A.spans(rg.LANE_A.prefix(h), first, first + span)
-                two = rg.LANE_B.spans(rg.LANE_B.prefix(other), first, first + span)
+                one, two = _hashed(data, starts, ends, span, first)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[a:b][np.searchsorted(at, first, side="right") - 1])], ["h1", "h2", "doc_id"])
 
     return run
@@ -133,65 +175,76 @@ def _removed(span: int, with_text: bool):
             lists = batch.column(2)
             for a, b, data, offs in rg.blocks(batch.column(1)):
                 starts, ends, at = rg.words(data, offs)
-                h = rg.LANE_A.words(data, starts, ends)
-                first, values = rg.windows(rg.LANE_A, h, at, span)
+                first, _ = _window_prints(starts.astype(np.uint64), at, span, span)
+                one, two = _hashed(data, starts, ends, span, first)
                 cuts, raw = np.searchsorted(first, at), data.tobytes()
-                whole = [lane.spans(lane.prefix(x), at[:-1], at[1:]).view(np.int64) for lane, x in ((rg.LANE_A, h), (rg.LANE_B, rg.LANE_B.words(data, starts, ends)))]
-                gone, texts = np.zeros(b - a, np.int64), []
+                gone, texts, sha = np.zeros(b - a, np.int64), [], []
                 for i in range(b - a):
-                    own = slice(cuts[i], cuts[i + 1])
-                    hit = np.isin(values[own], lists[a + i].values.to_numpy().view(np.uint64))
+                    own, late = slice(cuts[i], cuts[i + 1]), lists[a + i].values
+                    h1, h2 = (late.field(j).to_numpy().view(np.uint64) for j in (0, 1))
+                    order = np.argsort(h1)
+                    place = np.minimum(np.searchsorted(h1[order], one[own]), len(h1) - 1)
+                    hit = (h1[order][place] == one[own]) & (h2[order][place] == two[own])
                     mask = rg.covered(first[own][hit] - at[i], span, int(at[i + 1] - at[i]))
                     gone[i] = mask.sum()
+                    sha.append(hashlib.sha256(_joined(raw, offs, i)).digest())
                     texts.append(b" ".join(compress(raw[offs[i] : offs[i + 1]].split(), (~mask).tolist())))
                 out = [t.decode() for t in texts] if with_text else [hashlib.sha256(t).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole[0]), pa.array(whole[1]), pa.array(gone), pa.array(out, pa.string())], ["doc_id", "ca", "cb", "gone", "out"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *halves(sha), pa.array(gone), pa.array(out, pa.string())], ["doc_id", "ca", "cb", "gone", "out"])
 
     return run
 
 
-def shared_prints(features: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
-    """The fingerprints (fp) that occur in two or more documents, by feeding a log batch after batch."""
-    spark = features.sparkSession
-    low, high = features.agg(F.min("doc_id"), F.max("doc_id")).first()
-    log, found = FingerprintLog(spark, fan_in=fan_in), None
-    if low is None:
-        return features.select(F.explode("fps").alias("fp")).limit(0)
-    width = (high - low) // batches + 1
-    for i in range(batches):
-        part = features.where(F.col("doc_id").between(low + i * width, low + (i + 1) * width - 1))
-        shared = log.add(part.select(F.explode("fps").alias("fp"), "doc_id"))
-        found = shared if found is None else found.unionByName(shared)
-    log.drop()
-    return found.distinct()
+def shared_postings(features: DataFrame, log: FingerprintLog, batches: int = BATCHES) -> DataFrame:
+    """Feeds the log batch after batch; the postings (fp, doc_id) of fingerprints that two or more documents have."""
+    cuts = features.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    found, low = [], None
+    for high in [*sorted(set(cuts)), None]:
+        part = features if low is None else features.where(F.col("doc_id") > low)
+        part, low = part if high is None else part.where(F.col("doc_id") <= high), high
+        found.append(log.add(part.select(F.explode("fps").alias("fp"), "doc_id")))
+    return log.postings(reduce(DataFrame.unionByName, found).distinct())
 
 
-def _plan(rows: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _plan(rows: DataFrame, span: int, gram: int, log: FingerprintLog | None, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features of all rows; the first document of each word sequence that recurs; windows to remove, by document."""
-    small_batches(rows.sparkSession)
+    spark = rows.sparkSession
+    small_batches(spark)
     features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(span, gram), "doc_id long, text_hash long, n_words long, sha string, ca long, cb long, fps array<long>"))
     usable = features.where(f"n_words >= {span} and doc_id is not null")
-    classes = usable.groupBy("ca", "cb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.any_value("fps").alias("fps"))
-    classes = cut(classes)
-    firsts = classes.select(F.col("first").alias("doc_id"), "fps")
-    shared = shared_prints(firsts)
-    wanted = firsts.select("doc_id", F.explode("fps").alias("fp")).join(fresh(shared, "fp"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    windows = rows.join(wanted, "doc_id").select("doc_id", "text", "fps").mapInArrow(_verified(span, gram), "h1 long, h2 long, doc_id long")
+    classes = cut(usable.groupBy("ca", "cb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.any_value("fps").alias("fps")))
+    own = log or FingerprintLog(spark)
+    wanted = cut(shared_postings(classes.select(F.col("first").alias("doc_id"), "fps"), own).groupBy("doc_id").agg(F.collect_set("fp").alias("fps")))
+    if log is None:
+        own.drop()
+    texts = rows if earlier is None else rows.unionByName(earlier)
+    windows = texts.join(wanted, "doc_id").select("doc_id", "text", "fps").mapInArrow(_verified(span, gram), "h1 long, h2 long, doc_id long")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    late = windows.join(fresh(least, "h1", "h2"), ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("h1").alias("late"))
+    late = windows.join(fresh(least, "h1", "h2"), ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
     return features, classes.where("first < last").select("ca", "cb", "first"), late
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def remove_repeats(
+    docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", log: FingerprintLog | None = None, earlier: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row for each row of docs.
 
     A word goes if a window of span words over it also starts in a document with a smaller doc_id; windows are judged
     on the input. Words are what stands between U+0020 and U+0009..U+000D. Null and empty texts have no words. Rows
-    with a null doc_id neither lose words nor cause a loss; rows of one doc_id don't affect each other. An empty table
-    gives an empty result.
+    with a null doc_id neither lose words nor cause a loss; rows of one doc_id don't affect each other. Other columns are
+    ignored. An empty table gives an empty result. A text of any length is taken whole, by one task, which holds some
+    twenty times its size.
+
+    With a log, docs is a further delivery: it's judged against the earlier documents too (the table of all that the log
+    has taken), and the log takes it. Earlier documents are not judged anew. The caller drops or closes the log after
+    the result has been used.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    features, copied, late = _plan(rows, span, gram)
+    rows = _rows(docs, id_col, text_col)
+    features, copied, late = _plan(rows, span, gram, log, None if earlier is None else _rows(earlier, id_col, text_col))
     changed = rows.join(late, "doc_id").mapInArrow(_removed(span, False), "doc_id long, ca long, cb long, gone long, out string").distinct()
     out = features.drop("fps").join(changed, ["doc_id", "ca", "cb"], "left").join(fresh(copied, "ca", "cb"), ["ca", "cb"], "left")
     copy = F.col("doc_id") > F.col("first")
@@ -206,10 +259,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col:
 def cut_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """docs, same columns, without the repeated words; texts that lose none stay as they are, documents that lose all go.
 
-    A changed text is its kept words joined by one space, and n_chars, where there is one, follows it.
+    A changed text is its kept words joined by one space, and n_chars, where there is one, follows it. Null and empty
+    texts, rows with a null doc_id and rows of one doc_id are as in remove_repeats(); an empty table stays empty.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features, copied, late = _plan(rows, span, gram)
+    features, copied, late = _plan(_rows(docs, "doc_id", "text"), span, gram, None, None)
     copies = features.where("doc_id is not null").join(fresh(copied, "ca", "cb"), ["ca", "cb"]).where("doc_id > first")
     cut_, copy = spare(docs, "late"), spare(docs, "copy")
     late = late.select(F.col("doc_id").alias("doc_id_"), F.col("late").alias(cut_))
