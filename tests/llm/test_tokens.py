@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,16 +45,25 @@ def test_counts_of_any_text(pieces, text):
     assert own.counts([text]) == [len(library.encode(text))]
 
 
+def check_ids(own, library, texts):
+    data, offs = b"".join(t.encode() for t in texts), np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    ids, n = own.encode(np.frombuffer(data, np.uint8), offs)
+    at = np.r_[0, np.cumsum(n)]
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_ids_of_odd_texts(words):
     library, own = words
-    assert [x.tolist() for x in own.encode(ODD)] == [x.ids for x in library.encode_batch(ODD, add_special_tokens=False)]
+    for _ in range(2):
+        check_ids(own, library, [*ODD, "x" * 3000, "word " * 50_000 + "end", "abcdefghabcdefgh abcdefghabcdefghi ABCDEFGHabcdefgh", "a\0 a\0\0 a"])
+    own._forget()
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aeinrst LO.,'<>|\n"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_ids_of_any_text(words, text):
     library, own = words
-    assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    check_ids(own, library, ["", text, "a " + text])
 
 
 def test_op2(spark, data, pieces):
@@ -124,7 +135,7 @@ def test_op4(spark, data, words):
 
 def test_packing_odd_texts_with_ids(spark, words):
     docs = list(enumerate([*ODD, None, *(t for _, t in corpus(2, 30))]))
-    rows = packing.pack(frame(spark, docs), length=64, shard_bytes=4096).collect()
+    rows = packing.pack(frame(spark, docs), length=64, shard_tokens=3000).collect()
     check_pieces(rows, docs, words[0], 64)
     ids = np.array(words[0].encode(ODD[8], add_special_tokens=False).ids + [1])
     own = sorted((r["start"], r["ids"]) for r in rows if r["doc_id"] == 8)
@@ -138,30 +149,64 @@ def test_packing_empty_tables_and_repeats(spark):
     assert packing.pack(df.withColumn("shard", F.lit("clash")), with_ids=False).count() == 3
 
 
+def plain_weights(docs):
+    """BM25 weight of each term in each document, by the definition."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d))
+    k1, b = packing.K1, packing.B
+    return [{t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(d) / mean)) for t, tf in Counter(d).items()} for d in docs]
+
+
+def plain_packing(docs, length, shard_tokens):
+    """The sequences of one task, as lists of (number, start, tokens): in order of leading terms, shard by shard, greedily."""
+    weights = plain_weights(docs)
+    lead = [[t for t, _ in sorted(w.items(), key=lambda x: (-x[1], x[0]))][: packing.LEADING] for w in weights]
+    order = sorted(range(len(docs)), key=lambda d: (lead[d] + [0] * (packing.LEADING - len(lead[d])), d))
+    shards, tokens = [[]], 0
+    for d in order:
+        if shards[-1] and (tokens + len(docs[d]) > shard_tokens or len(shards[-1]) == packing.SHARD_DOCS):
+            shards.append([])
+            tokens = 0
+        shards[-1].append(d)
+        tokens += len(docs[d])
+    out, used, rest = [], [0] * len(docs), []
+    for k, shard in enumerate(shards):
+        members = rest + shard
+        for seed in members:
+            while used[seed] < len(docs[seed]) and (k == len(shards) - 1 or sum(len(docs[d]) - used[d] for d in members) >= length):
+                sequence, room = [], length
+                scores = {d: round(sum(w for t, w in weights[d].items() if t in weights[seed]), 9) for d in members}
+                for d in [seed, *sorted((d for d in members if d != seed), key=lambda d: (-scores[d], members.index(d)))]:
+                    take = min(room, len(docs[d]) - used[d])
+                    if take:
+                        sequence.append((d, used[d], take))
+                        used[d] += take
+                        room -= take
+                out.append(sequence)
+        rest = [d for d in members if used[d] < len(docs[d])]
+    return out
+
+
 def test_neighbours_are_the_best_by_bm25():
     rng = np.random.default_rng(3)
     topics = [np.arange(100 * t, 100 * t + 100, dtype=np.uint16) for t in range(4)]
     ids = [rng.choice(topics[i % 4], 30) for i in range(40)]
-    for sequence in packing.fill(ids, 120)[:6]:
+    sizes = np.array([len(x) for x in ids])
+    postings = packing.Postings.of(np.concatenate(ids), sizes)
+    index = packing.Index(postings, packing.Statistics.of(postings))
+    for sequence in packing.fill(index, sizes, np.zeros(40, np.int64), 120)[:6]:
         assert len({d % 4 for d, _, _ in sequence}) == 1
-    index = packing.Index(ids)
-    scores, own = index.scores(0), {}
-    n, mean = len(ids), np.mean([len(x) for x in ids])
-    for j, d in enumerate(ids):
-        total = 0.0
-        for t in set(ids[0].tolist()):
-            tf, df = int((d == t).sum()), sum(t in x for x in ids)
-            total += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
-        own[j] = total
-    assert np.allclose(scores, [own[j] for j in range(n)])
-
-
-def test_many_blocks_are_searched_as_one_corpus(spark):
-    docs = sorted(corpus(4, 120))
-    ids = packing._encoded([t or "" for _, t in docs], None)
-    want = [[(docs[d][0], start, taken) for d, start, taken in s] for s in packing.fill(ids, 256)]
-    for more in ({}, {"top": 7}):
-        found = {}
-        for r in packing.pack(frame(spark, docs), length=256, shard_bytes=4096, with_ids=False, **more).collect():
-            found.setdefault(r["sequence_id"], []).append((r["offset"], (r["doc_id"], r["start"], r["length"])))
-        assert [[p for _, p in sorted(found[k])] for k in sorted(found)] == want
+    weights = plain_weights([d.tolist() for d in ids])
+    assert np.allclose(index.scores(0), [sum(w for t, w in x.items() if t in weights[0]) for x in weights])
+
+
+@pytest.mark.parametrize("shard_tokens", [900, 3000, 1 << 18])
+def test_packing_equals_a_plain_version(spark, words, shard_tokens):
+    """Shards, seeds, neighbours and cuts of a task, from the whole corpus's statistics."""
+    docs = sorted(corpus(4, 70))
+    ids = [[*words[0].encode(t or "", add_special_tokens=False).ids, 1] for _, t in docs]
+    found = {}
+    for r in packing.pack(frame(spark, docs), length=256, shard_tokens=shard_tokens, with_ids=False).collect():
+        found.setdefault(r["sequence_id"], []).append((r["offset"], (r["doc_id"], r["start"], r["length"])))
+    got = [[p for _, p in sorted(found[k])] for k in sorted(found)]
+    assert got == [[(docs[d][0], start, taken) for d, start, taken in s] for s in plain_packing(ids, 256, shard_tokens)]

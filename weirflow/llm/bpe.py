@@ -13,11 +13,14 @@ import os
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from . import ragged as rg
+
 _NONE = np.int32(0x7FFFFFFF)
 #: Words held by a worker; a fuller cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 class PairTable:
@@ -176,17 +179,114 @@ class PieceCounter:
         return [w[1:] for w in regex.findall(r" +[^ ]*", " " + text)]
 
 
-#: Characters whose form, case and class are plain: ASCII (the space joins words) and the letters of Latin-1.
-_LATIN = np.zeros(257, bool)
-_LATIN[[*range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = True
-_CLIP = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Bytes of words whose form, case and class are plain: ASCII but for the apostrophe, and the letters of Latin-1.
+_LATIN_LEAD = 0xC3
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(0x20, 0x7F), _LATIN_LEAD, *range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+_PLAIN[ord("'")] = False
+#: How they make pre-tokens: runs of letters, single digits, runs of others.
+_LETTER, _DIGIT, _OTHER = range(3)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[*range(ord("a"), ord("z") + 1), *range(0x80, 256)]] = _LETTER
+_KINDS[range(ord("0"), ord("9") + 1)] = _DIGIT
+
+
+class Ragged:
+    """Runs of numbers by number, in one array that grows."""
+
+    def __init__(self, kind: type):
+        self.data, self.at, self.n = np.zeros(1 << 12, kind), np.zeros(1 << 12, np.int64), 0
+
+    def append(self, values: np.ndarray, offs: np.ndarray) -> int:
+        """Adds values[offs[i] : offs[i + 1]] of each i; the number of the first."""
+        first, new, end = self.n, len(offs) - 1, int(self.at[self.n]) + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(2 * end - len(self.data), self.data.dtype)])
+        if first + new >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(2 * (first + new) + 2 - len(self.at), np.int64)])
+        self.data[self.at[first] : end] = values
+        self.at[first + 1 : first + new + 1] = self.at[first] + offs[1:]
+        self.n += new
+        return first
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of numbers one after another, and their sizes."""
+        first, sizes = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        return self.data[np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())], sizes
+
+
+class WordTable:
+    """Word -> number by open addressing, looked up as whole arrays.
+
+    A word of WIDE bytes at most is told from all others by its first and last eight bytes and its length.
+    """
+
+    WIDE = 16
+
+    def __init__(self, bits: int = 14):
+        self.bits, self.n = bits, 0
+        self.first, self.last = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.size, self.number = np.zeros(1 << bits, np.uint8), np.full(1 << bits, -1, np.int32)
+
+    @staticmethod
+    def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        eight, size = rg.eights(data), ends - starts
+        last = eight[np.maximum(ends - 8, 0)]
+        last[size < 8] = 0
+        return eight[starts] & rg.KEPT[np.minimum(size, 8)], last, size.astype(np.uint8)
+
+    @staticmethod
+    def mixed(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return rg.LANE_A.join(first ^ (last >> np.uint64(7)), last + size)
+
+    def _slots(self, mixed: np.ndarray, probe: int) -> np.ndarray:
+        return ((mixed >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def find(self, first: np.ndarray, last: np.ndarray, size: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 if it isn't there."""
+        out, todo, probe = np.full(len(first), -1, np.int32), np.arange(len(first)), 0
+        while len(todo):
+            at = self._slots(mixed[todo], probe)
+            found = self.number[at]
+            hit = (self.first[at] == first[todo]) & (self.last[at] == last[todo]) & (self.size[at] == size[todo]) & (found >= 0)
+            out[todo[hit]] = found[hit]
+            todo, probe = todo[~hit & (found >= 0)], probe + 1
+        return out
+
+    def add(self, first: np.ndarray, last: np.ndarray, size: np.ndarray, number: np.ndarray) -> None:
+        """Words that are distinct and new."""
+        if 3 * (self.n + len(first)) > 1 << self.bits:
+            held, old = self.number >= 0, (self.first, self.last, self.size, self.number)
+            self.__init__((3 * (self.n + len(first))).bit_length() + 1)
+            self.add(*(x[held] for x in old))
+        todo, probe, mixed = np.arange(len(first)), 0, self.mixed(first, last, size)
+        self.n += len(first)
+        while len(todo):
+            at = self._slots(mixed[todo], probe)
+            free = np.flatnonzero(self.number[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            win, at = todo[free[one]], at[free[one]]
+            self.first[at], self.last[at], self.size[at], self.number[at] = first[win], last[win], size[win], number[win]
+            left = np.ones(len(todo), bool)
+            left[free[one]] = False
+            todo, probe = todo[left], probe + 1
+
+
+def distinct(first: np.ndarray, last: np.ndarray, size: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct word, which of them each word is)."""
+    _, place, which = np.unique(mixed, return_index=True, return_inverse=True)
+    if all((x[place][which] == x).all() for x in (first, last, size)):
+        return place, which
+    _, place, which = np.unique(np.stack([first, last, size.astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
+    return place, which
 
 
 class WordEncoder:
     """Token ids as the tokenizers library gives them for a lower-casing BPE with word ends.
 
-    Pre-tokens never cross a space or a line feed, so ids are held by word. Words of ASCII and Latin-1 letters are
-    merged here; words with any other character, or with what may begin a special token, are the library's.
+    Pre-tokens never cross a space or a line feed, so ids are held by word, and by pre-token. Words of ASCII and Latin-1
+    letters are merged here; words with any other character, with an apostrophe, or with what may begin a special token,
+    are the library's.
     """
 
     def __init__(self, path: str):
@@ -204,45 +304,93 @@ class WordEncoder:
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int32)
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
 
-    def _learn(self, missing: list[str]) -> None:
-        joined = " ".join(missing)
-        ends = np.cumsum([len(w) for w in missing])
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        odd = np.r_[0, np.cumsum(~_LATIN[np.minimum(codes, 256)])]
-        starts = np.r_[0, ends[:-1]] + np.arange(len(missing))
-        strange = odd[starts + np.diff(np.r_[0, ends])] > odd[starts]
-        if "<|" in joined:
-            strange |= np.array(["<|" in w for w in missing])
-        if strange.any():
-            for i in np.flatnonzero(strange):
-                self.known[missing[i]] = np.array(self.library.encode(missing[i], add_special_tokens=False).ids, np.uint16).tobytes()
-            missing = [missing[i] for i in np.flatnonzero(~strange)]
-            joined, ends = " ".join(missing), np.cumsum([len(w) for w in missing])
-        if not missing:
-            return
-        # Pre-tokens take up all characters but the spaces between words; in Latin-1, lower case is as long.
-        tokens = _CLIP.findall(joined.lower())
-        token_ends = np.cumsum([len(t) for t in tokens])
-        text = "".join(tokens)
-        data = np.frombuffer(text.encode(), np.uint8)
-        at_char = np.r_[0, np.cumsum(1 + (np.frombuffer(text.encode("utf-32-le"), np.uint32) > 127))]
-        offs = np.r_[0, at_char[token_ends]]
-        symbols = self.inner[data]
-        symbols[offs[1:] - 1] = self.last[data[offs[1:] - 1]]
-        ids, at = merge_all(symbols, offs, self.table)
-        raw, cuts = ids.astype(np.uint16).tobytes(), np.r_[0, at[np.searchsorted(token_ends, ends) + 1]] * 2
-        cuts = cuts.tolist()
-        self.known.update((w, raw[cuts[i] : cuts[i + 1]]) for i, w in enumerate(missing))
-
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 16-bit arrays."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        missing = {w for ws in words for w in ws} - self.known.keys()
-        if missing:
-            self._learn(list(missing))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.uint16) for ws in words]
+    def _forget(self) -> None:
+        self.table_of_words, self.long_words, self.of_word = WordTable(), {}, Ragged(np.uint16)
+        self.tokens, self.of_token = {}, Ragged(np.uint16)
+
+    def _learn(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The numbers of new words, which are the bytes flat[at[i] : at[i + 1]]."""
+        after = np.r_[flat[1:], np.uint8(0)]
+        odd = ~_PLAIN[flat]
+        odd[1:] |= (flat[:-1] == _LATIN_LEAD) != ((flat[1:] & 0xC0) == 0x80)
+        strange = np.add.reduceat(odd | (flat == ord("<")) & (after == ord("|")), at[:-1]) > 0 if len(flat) else np.zeros(len(at) - 1, bool)
+        strange &= at[1:] > at[:-1]
+        number = np.zeros(len(at) - 1, np.int64)
+        some = np.flatnonzero(strange)
+        if len(some):
+            found = [np.array(self.library.encode(flat[at[i] : at[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint16) for i in some]
+            number[some] = self.of_word.append(np.concatenate(found), np.r_[0, np.cumsum([len(x) for x in found])]) + np.arange(len(some))
+        plain = np.flatnonzero(~strange)
+        if len(plain):
+            number[plain] = self.of_word.append(*self._merged(*spans(flat, at[plain], at[plain + 1]))) + np.arange(len(plain))
+        return number
+
+    def _merged(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words one after another and their offsets by word; every byte is in a pre-token."""
+        low = rg.ascii_lower(flat)
+        latin = np.flatnonzero(flat[:-1] == _LATIN_LEAD) + 1
+        low[latin] += ((low[latin] < 0x9F)).astype(np.uint8) * np.uint8(0x20)
+        kind = _KINDS[low]
+        begins = np.ones(len(low) + 1, bool)
+        begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begins[at] = True
+        offs = np.flatnonzero(begins).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(low)]).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        number = np.fromiter((self.tokens.get(t, -1) for t in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh = [distinct[i] for i in new]
+            cuts = np.r_[0, np.cumsum([len(t) for t in fresh])]
+            raw = np.frombuffer(b"".join(fresh), np.uint8)
+            symbols = self.inner[raw]
+            symbols[cuts[1:] - 1] = self.last[raw[cuts[1:] - 1]]
+            ids, cuts = merge_all(symbols, cuts, self.table)
+            number[new] = self.of_token.append(ids.astype(np.uint16), cuts) + np.arange(len(new))
+            self.tokens.update(zip(fresh, number[new].tolist(), strict=True))
+        ids, sizes = self.of_token.take(number[found.indices.to_numpy()])
+        return ids, np.r_[0, np.cumsum(sizes)][np.searchsorted(offs, at)]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8 data and its offsets by text) one after another, and the number of each text's."""
+        if self.of_word.n > CACHE_WORDS:
+            self._forget()
+        starts, ends, at = rg.words(data, offs, _BETWEEN)
+        number = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(ends - starts <= WordTable.WIDE)
+        keys = WordTable.keys(data, starts[short], ends[short])
+        mixed = WordTable.mixed(*keys)
+        found = self.table_of_words.find(*keys, mixed)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            keys = [x[new] for x in keys]
+            place, which = distinct(*keys, mixed[new])
+            numbers = self._learn(*spans(data, starts[short[new[place]]], ends[short[new[place]]]))
+            self.table_of_words.add(*(x[place] for x in keys), numbers)
+            found[new] = numbers[which]
+        number[short] = found
+        rest = np.flatnonzero(ends - starts > WordTable.WIDE)
+        if len(rest):
+            raw = data.tobytes()
+            words = [raw[i:j] for i, j in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            missing = list(dict.fromkeys(w for w in words if w not in self.long_words))
+            if missing:
+                cuts = np.r_[0, np.cumsum([len(w) for w in missing])]
+                self.long_words.update(zip(missing, self._learn(np.frombuffer(b"".join(missing), np.uint8), cuts).tolist(), strict=True))
+            number[rest] = [self.long_words[w] for w in words]
+        ids, sizes = self.of_word.take(number)
+        total = np.r_[0, np.cumsum(sizes)]
+        return ids, total[at[1:]] - total[at[:-1]]
+
+
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[0x20, 0x0A]] = True
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """data[starts[i] : ends[i]] one after another, and offsets."""
+    sizes = ends - starts
+    at = np.r_[0, np.cumsum(sizes)]
+    return data[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])], at

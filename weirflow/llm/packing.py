@@ -1,14 +1,14 @@
 """Lexical retrieval packing: each seed document's window is filled with its best unused neighbours by BM25.
 
-The next unused document, by doc_id, is the seed; it takes whole sequences as far as it goes, and what is left of the last
-one is given to the unused documents of the whole corpus that score best for the seed, each cut where the sequence ends.
-What is cut off stays unused. So only the last sequence has padding. fill() does that in one process.
-
-pack() gives the pieces of fill() for a corpus of any number of blocks: texts are put in order and tokenised into blocks of
-about SHARD_BYTES, each with its postings; document frequencies and the mean length are those of the corpus. Then rounds
-follow: the next seeds are scored against every unused document of every block, the TOP best of each come back, and the
-driver fills the seeds' windows in turn. A seed whose list runs out before its window is full begins the next round, with a
-new search, so no list's length changes a result. The driver holds a few numbers for each document, and no text.
+The inverted index is sharded by content. A document's place is its leading terms, those of the highest BM25 weights by the
+document frequencies and mean length of the whole corpus; documents lie in the order of (leading terms, doc_id), and each
+stretch of about SHARD_TOKENS of it is a shard: documents that share their most telling terms are in one shard, however large
+the corpus is, a hot term is split by those that follow it, and no document is left out. The next unused document of a shard
+is the seed; it takes whole sequences as far as it goes, and what is left of the last one is given to the unused documents
+of the shard that score best for the seed, each cut where the sequence ends. What is cut off stays unused. A shard's last
+documents that would not fill a sequence go on to the next shard of the task, so padding is one sequence for each task.
+
+fill() does the packing of one shard in one process.
 """
 
 from __future__ import annotations
@@ -17,70 +17,97 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ragged as rg
 from .shared import shared_path, small_batches
 from .token_counts import vocabulary
 
 LENGTH, END, MODEL = 2048, 1, "word_bpe_49k.json"
-#: Text of a block; a task holds one block's tokens or postings at a time.
-SHARD_BYTES = 2 << 20
-#: Neighbours that a search gives, seeds of a round, and bytes of lists that a round may send to the driver.
-TOP, FIRST, MOST, LIST_BYTES = 128, 256, 2048, 24 << 20
+#: Tokens and documents of a shard at most (one document may be longer); bytes of text that a task of the second step takes.
+SHARD_TOKENS, SHARD_DOCS, TASK_BYTES = 1 << 18, 4096, 32 << 20
+LEADING = 4
 K1, B = 1.2, 0.75
 _encoders: dict = {}
 
 
-def _postings(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, tf), by document and term."""
-    sizes = np.array([len(x) for x in ids], np.int64)
-    pairs = np.repeat(np.arange(len(ids), dtype=np.int64), sizes) << 16 | (np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64))
-    pairs, tf = np.unique(pairs, return_counts=True)
-    return pairs >> 16, pairs & 0xFFFF, tf
+class Postings:
+    """Document, term and tf of each posting, by document and term; and each document's tokens."""
 
+    def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray):
+        self.doc, self.term, self.tf, self.sizes = doc, term, tf, sizes
 
-def _idf(n: int, df: np.ndarray) -> np.ndarray:
-    return np.log1p((n - df + 0.5) / (df + 0.5))
+    @classmethod
+    def of(cls, ids: np.ndarray, sizes: np.ndarray) -> Postings:
+        pairs = np.sort(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 16 | ids.astype(np.int64))
+        new = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+        return cls(pairs[new] >> 16, pairs[new] & 0xFFFF, np.diff(np.r_[new, len(pairs)]), sizes)
 
+    @property
+    def at(self) -> np.ndarray:
+        """Where each document's postings begin."""
+        return np.searchsorted(self.doc, np.arange(len(self.sizes) + 1))
 
-def _bm25(idf: np.ndarray, tf: np.ndarray, sizes: np.ndarray, mean: float) -> np.ndarray:
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / max(1.0, mean)))
 
+class Statistics:
+    """What BM25 takes from a whole corpus: document frequencies and the mean length."""
 
-def _places(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Where the postings of terms are."""
-    first, sizes = at[terms], at[terms + 1] - at[terms]
-    return np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.idf, self.mean = np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, tokens / max(1, n))
+
+    @staticmethod
+    def of(postings: Postings) -> Statistics:
+        return Statistics(np.bincount(postings.term, minlength=1 << 16), len(postings.sizes), int(postings.sizes.sum()))
+
+    def weights(self, p: Postings) -> np.ndarray:
+        return self.idf[p.term] * p.tf * (K1 + 1) / (p.tf + K1 * (1 - B + B * p.sizes[p.doc] / self.mean))
 
 
 class Index:
-    """Inverted index in one process: BM25 weights of its documents by term, and each document's terms."""
-
-    def __init__(self, ids: list[np.ndarray]):
-        n = len(ids)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        doc, term, tf = _postings(ids)
-        self.terms, self.term_at = term, np.searchsorted(doc, np.arange(n + 1))
-        df = np.bincount(term, minlength=1 << 16)
-        weight = _bm25(_idf(n, df)[term], tf, sizes[doc], sizes.mean() if n else 1.0)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.at, self.n = doc[order], weight[order], np.r_[0, np.cumsum(df)], n
+    """The inverted index of a shard: BM25 weights of its documents by term, and each document's terms."""
+
+    def __init__(self, postings: Postings, statistics: Statistics):
+        order = np.argsort(postings.term.astype(np.uint16), kind="stable")
+        self.terms, self.term_at, self.n = postings.term, postings.at, len(postings.sizes)
+        self.doc, self.weight = postings.doc[order].astype(np.int32), statistics.weights(postings)[order]
+        self.at = np.r_[0, np.cumsum(np.bincount(postings.term, minlength=1 << 16))]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the terms of the seed."""
         terms = self.terms[self.term_at[seed] : self.term_at[seed + 1]]
-        places = _places(self.at, terms)
+        first, sizes = self.at[terms], self.at[terms + 1] - self.at[terms]
+        places = np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
         return np.bincount(self.doc[places], self.weight[places], self.n)
 
 
-def fill(ids: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of pieces (document, start, tokens); every token of ids is in one piece."""
-    sizes = np.array([len(x) for x in ids], np.int64)
-    index, used, free, out = Index(ids), np.zeros(len(ids), np.int64), sizes > 0, []
-    for seed in range(len(ids)):
-        while free[seed]:
+def leading(postings: Postings, weights: np.ndarray, n: int = LEADING) -> np.ndarray:
+    """The terms of the n highest weights of each document, the highest first, as one number; of equal weights the smaller term's."""
+    out, left, at = np.zeros(len(postings.sizes), np.uint64), weights.copy(), postings.at
+    some = np.flatnonzero(np.diff(at))
+    for i in range(n):
+        if not len(some):
+            break
+        top = np.maximum.reduceat(left, at[some])
+        is_top = left == np.repeat(top, np.diff(at)[some])
+        first = np.flatnonzero(is_top)
+        first = first[np.r_[True, postings.doc[first[1:]] != postings.doc[first[:-1]]]]
+        there = left[first] > 0
+        out[some[there]] |= postings.term[first[there]].astype(np.uint64) << np.uint64(16 * (3 - i))
+        left[first] = 0
+    return out
+
+
+def fill(index: Index, sizes: np.ndarray, used: np.ndarray, length: int = LENGTH, last: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Sequences as lists of pieces (document, start, tokens), from the tokens that are not used yet; used is brought up to date.
+
+    Unless it's the last shard, documents are left over as soon as all of them together would not fill a sequence.
+    """
+    free, out, left = used < sizes, [], int((sizes - used).sum())
+    for seed in range(len(sizes)):
+        while free[seed] and (last or left >= length):
             take = int(min(length, sizes[seed] - used[seed]))
             sequence, room = [(seed, int(used[seed]), take)], length - take
             used[seed] += take
@@ -97,6 +124,7 @@ def fill(ids: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int, in
                     room -= take
                     free[best] = used[best] < sizes[best]
                     rank[best] = -1.0
+            left -= length - room
             out.append(sequence)
     return out
 
@@ -109,44 +137,35 @@ def _encoder(path: str | None):
     return _encoders[path]
 
 
-def _encoded(texts: list[str], path: str | None) -> list[np.ndarray]:
-    """Ids with the end mark, taken in blocks so that few word lists are held at once."""
-    encoder, out, part, held = _encoder(path), [], [], 0
-    end = np.array([END], np.uint16)
-    for i, text in enumerate(texts):
-        part.append(text)
-        held += len(text)
-        if held > 1 << 20 or i == len(texts) - 1:
-            out += [np.concatenate([x, end]) for x in encoder.encode(part)]
-            part, held = [], 0
-    return out
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of numbers as bytes, one value a row."""
+    offs = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes * values.itemsize, out=offs[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _tokenised(shard_bytes: int, path: str | None):
-    """Blocks (part, at, names, sizes, tokens, doc, term, tf) of rows in order; the postings are by term."""
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse of _lists()."""
+    _, _, data, offs = next(rg.blocks(column, 1 << 62), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    return np.frombuffer(data.tobytes(), kind), np.diff(offs) // np.dtype(kind).itemsize
 
-    def block(part: int, at: int, names: list, texts: list[str]) -> pa.RecordBatch:
-        ids = _encoded(texts, path)
-        doc, term, tf = _postings(ids)
-        order = np.argsort(term, kind="stable")
-        arrays = [np.array([len(x) for x in ids], "<i4"), np.concatenate(ids).astype("<u2"), doc[order].astype("<i4"), term[order].astype("<u2"), tf[order].astype("<i4")]
-        columns = [pa.array([part], pa.int32()), pa.array([at], pa.int32()), pa.array([names], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
-        return pa.RecordBatch.from_arrays(columns, ["part", "at", "names", "sizes", "tokens", "doc", "term", "tf"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _tokenised(path: str | None):
+    """(doc_id, n, tokens, terms, tf): the ids of each text with the end mark, and its postings."""
 
-        part, at, names, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names.append(name)
-                texts.append(text)
-                held += len(text.encode())
-                if held >= shard_bytes or len(texts) >= max(1, shard_bytes // 256):
-                    yield block(part, at, names, texts)
-                    at, names, texts, held = at + 1, [], [], 0
-        if texts:
-            yield block(part, at, names, texts)
+            for a, b, data, offs in rg.blocks(batch.column(1), 4 << 20):
+                words, n = _encoder(path).encode(data, offs)
+                sizes = n + 1
+                ids = np.full(len(words) + len(n), END, np.uint16)
+                inner = np.ones(len(ids), bool)
+                inner[np.cumsum(sizes) - 1] = False
+                ids[inner] = words
+                p = Postings.of(ids, sizes)
+                terms = np.diff(p.at)
+                columns = [batch.column(0).slice(a, b - a), pa.array(sizes), _lists(ids.astype("<u2"), sizes), _lists(p.term.astype("<u2"), terms), _lists(p.tf.astype("<i4"), terms)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "tokens", "terms", "tf"])
 
     return run
 
@@ -154,168 +173,101 @@ def _tokenised(shard_bytes: int, path: str | None):
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for term in batch.column(0).to_pylist():
-            df += np.bincount(np.frombuffer(term, "<u2"), minlength=1 << 16)
+        df += np.bincount(_numbers(batch.column(0), "<u2")[0], minlength=1 << 16)
     some = df.nonzero()[0]
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["term", "n"])
 
 
-def best(docs: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """The top documents of the highest scores; ties go to the smaller number."""
-    order = np.lexsort((docs, -scores))[:top]
-    return docs[order], scores[order]
+def _stored(n: np.ndarray, terms: pa.Array, tf: pa.Array) -> Postings:
+    term, sizes = _numbers(terms, "<u2")
+    return Postings(np.repeat(np.arange(len(n)), sizes), term.astype(np.int64), _numbers(tf, "<i4")[0].astype(np.int64), n)
+
+
+def _keyed(statistics: Statistics):
+    @F.pandas_udf("long")
+    def key(n: pd.Series, terms: pd.Series, tf: pd.Series) -> pd.Series:
+        p = _stored(n.to_numpy(), pa.array(terms, pa.binary()), pa.array(tf, pa.binary()))
+        return pd.Series((leading(p, statistics.weights(p)) ^ np.uint64(1 << 63)).view(np.int64))
+
+    return key
 
 
-def _searched(seeds: list[np.ndarray], free: np.ndarray, idf: np.ndarray, mean: float, bases: dict, top: int):
-    """(counts, docs, scores) of a task's blocks: for each seed, given as its terms, the best of the unused documents."""
+def _packed(statistics: Statistics, length: int, shard_tokens: int, with_ids: bool):
+    """Takes rows in order, shard after shard, and gives pieces."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(seeds)
+        from pyspark import TaskContext
+
+        sequence, held, used = TaskContext.get().partitionId() << 32, [], np.zeros(0, np.int64)
+
+        def shard(last: bool) -> pa.RecordBatch:
+            nonlocal sequence, held, used
+            table = pa.Table.from_batches(held).combine_chunks()
+            doc, n = table.column("doc_id").combine_chunks(), table.column("n").to_numpy()
+            used = np.r_[used, np.zeros(len(n) - len(used), np.int64)]
+            tokens, _ = _numbers(table.column("tokens").combine_chunks(), "<u2")
+            wide, at = tokens.astype("<u4"), np.r_[0, np.cumsum(n)]
+            found = fill(Index(_stored(n, *(table.column(c).combine_chunks() for c in ("terms", "tf"))), statistics), n, used, length, last)
+            flat = np.array([(d, start, taken, sequence + k) for k, pieces in enumerate(found) for d, start, taken in pieces], np.int64).reshape(-1, 4)
+            d, start, taken, of = flat.T
+            crc = [zlib.crc32(wide[i:j]) for i, j in zip((at[d] + start).tolist(), (at[d] + start + taken).tolist(), strict=True)]
+            ends = np.cumsum(taken)
+            first = np.flatnonzero(np.diff(np.r_[-1, of]))
+            offset = ends - taken - np.repeat((ends - taken)[first], np.diff(np.r_[first, len(of)]))
+            columns = [doc.take(pa.array(d)), *(pa.array(x, pa.int64()) for x in (start, taken, np.array(crc, np.int64), n[d], of, offset))]
+            if with_ids:
+                places = np.repeat(at[d] + start - ends + taken, taken) + np.arange(taken.sum())
+                columns.append(rg.flat_lists(tokens[places].astype(np.int32), taken, pa.int32()))
+            sequence += len(found)
+            rest = np.flatnonzero(used < n)
+            held, used = table.take(pa.array(rest)).combine_chunks().to_batches(), used[rest]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        tokens = docs = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes, doc, term, tf = (np.frombuffer(row[k], t).astype(np.int64) for k, t in (("sizes", "<i4"), ("doc", "<i4"), ("term", "<u2"), ("tf", "<i4")))
-                base = bases[row["part"], row["at"]]
-                able = np.unpackbits(free[base >> 3 : (base + len(sizes) >> 3) + 1])[base & 7 :][: len(sizes)].astype(bool)
-                some, keep = able.nonzero()[0], able[doc]
-                if not len(some):
-                    continue
-                doc, term, tf = (np.cumsum(able) - 1)[doc[keep]], term[keep], tf[keep]
-                weight = _bm25(idf[term], tf, sizes[some[doc]], mean)
-                at = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
-                for i, terms in enumerate(seeds):
-                    places, (docs, scores) = _places(at, terms), found[i]
-                    new = np.bincount(doc[places], weight[places], len(some))
-                    over = (new >= scores[-1]).nonzero()[0] if len(docs) == top else np.arange(len(some))
-                    if len(over):
-                        found[i] = best(np.r_[docs, base + some[over]], np.r_[scores, new[over]], top)
-        arrays = np.array([len(d) for d, _ in found], "<i4"), np.concatenate([d for d, _ in found]).astype("<i8"), np.concatenate([s for _, s in found]).astype("<f8")
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["counts", "docs", "scores"])
+            n = batch.column(1).to_numpy()
+            at = 0
+            while at < len(n):
+                fits = min(int(np.searchsorted(np.cumsum(n[at:]), shard_tokens - tokens, "right")), SHARD_DOCS - docs)
+                if not docs:
+                    fits = max(fits, 1)
+                if fits:
+                    held.append(batch.slice(at, fits))
+                    tokens, docs, at = tokens + int(n[at : at + fits].sum()), docs + min(fits, len(n) - at), at + fits
+                if at < len(n):
+                    yield shard(False)
+                    tokens = docs = 0
+        if held:
+            yield shard(True)
 
     return run
 
 
-def _merged(rows: list, n: int, top: int) -> list[np.ndarray]:
-    """The best documents of each of n seeds from the rows of all tasks."""
-    parts = []
-    for row in rows:
-        ends = np.cumsum(np.frombuffer(row["counts"], "<i4"))[:-1]
-        parts.append((np.split(np.frombuffer(row["docs"], "<i8"), ends), np.split(np.frombuffer(row["scores"], "<f8"), ends)))
-    return [best(np.concatenate([d[i] for d, _ in parts]), np.concatenate([s[i] for _, s in parts]), top)[0] for i in range(n)]
-
-
-class Filler:
-    """The state of fill() between rounds."""
-
-    def __init__(self, sizes: np.ndarray, length: int):
-        self.sizes, self.length, self.used, self.free = sizes, length, np.zeros(len(sizes), np.int64), sizes > 0
-        self.sequence, self.next, self.opened, self.pieces = 0, 0, None, []
-
-    def seeds(self, most: int) -> list[int]:
-        """The seed whose window is open, then the next unused documents."""
-        some = (self.next + self.free[self.next :].nonzero()[0][:most]).tolist()
-        return ([self.opened[0]] if self.opened else []) + some
-
-    def _take(self, d: int, room: int, offset: int) -> int:
-        take = int(min(room, self.sizes[d] - self.used[d]))
-        self.pieces.append((d, int(self.used[d]), take, self.sequence, offset))
-        self.used[d] += take
-        self.free[d] = self.used[d] < self.sizes[d]
-        return take
-
-    def round(self, seeds: list[int], lists: list[np.ndarray]) -> int:
-        """Fills the windows of seeds until a list that lacks unused documents runs out; the number of seeds done."""
-        whole = int(self.free.sum())
-        for done, (seed, neighbours) in enumerate(zip(seeds, lists, strict=True)):
-            if self.opened:
-                (_, offset), self.opened = self.opened, None
-            elif not self.free[seed]:
-                continue
-            else:
-                self.next = seed + 1
-                offset = self._take(seed, self.length, 0)
-                while self.free[seed]:
-                    self.sequence += 1
-                    offset = self._take(seed, self.length, 0)
-            for d in neighbours[self.free[neighbours]].tolist():
-                if offset == self.length:
-                    break
-                offset += self._take(d, self.length - offset, offset)
-            if offset < self.length and len(neighbours) < whole and self.free.any():
-                self.opened = seed, offset
-                return done
-            self.sequence += 1
-        self.next = max(self.next, seeds[-1] + 1)
-        return len(seeds)
-
-
-def pack(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_ids: bool = True, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, with_ids: bool = True, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]), a row for each piece.
 
-    Null and empty texts are their end mark alone. Repeated rows are packed each; rows with a null doc_id come last. Ties
-    go to the smaller doc_id, then to the smaller text. An empty table gives no piece; other columns are ignored.
+    Null and empty texts are their end mark alone. Repeated rows are packed each; rows with a null doc_id come first among
+    those of the same leading terms. Ties of scores go to what comes first. An empty table gives no piece; other columns are
+    ignored. A text of any length is tokenised whole, by one task, which holds some twenty times its size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 256)).first()[0]
+    small_batches(spark)
+    where = shared_path(spark, "packing-tokens")
+    rows.mapInArrow(_tokenised(path), "doc_id long, n long, tokens binary, terms binary, tf binary").write.parquet(where)
+    stored = spark.read.parquet(where)
+    n, tokens = stored.agg(F.count(F.lit(1)), F.sum("n")).first()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    if not size:
+    if not n:
         return spark.createDataFrame([], schema)
-    small_batches(spark)
-    order, binary = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()], ", ".join(f"{c} binary" for c in ("sizes", "tokens", "doc", "term", "tf"))
-    parts = -(-size // (4 * shard_bytes))
-    where, placed = shared_path(spark, "packing-blocks"), shared_path(spark, "packing-pieces")
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_tokenised(shard_bytes, path), f"part int, at int, names array<long>, {binary}").write.parquet(where)
-    blocks = spark.read.parquet(where)
-    heads = sorted((r["part"], r["at"], r["sizes"]) for r in blocks.select("part", "at", "sizes").collect())
-    sizes = np.concatenate([np.frombuffer(x, "<i4") for _, _, x in heads]).astype(np.int64)
-    first = np.r_[0, np.cumsum([len(x) // 4 for _, _, x in heads])]
-    keys = [(p, a) for p, a, _ in heads]
-    bases = dict(zip(keys, first.tolist(), strict=False))
     df = np.zeros(1 << 16, np.int64)
-    for r in blocks.select("term").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    # A row for each term of the vocabulary at most.
+    for r in stored.select("terms").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]
-    idf, mean = _idf(len(sizes), df), sizes.mean()
-    postings = blocks.select("part", "at", "sizes", "doc", "term", "tf").coalesce(spark.sparkContext.defaultParallelism)
-    limit = max(1, min(MOST, LIST_BYTES // (16 * top * spark.sparkContext.defaultParallelism)))
-
-    def terms(seeds: list[int]) -> list[np.ndarray]:
-        at = np.searchsorted(first, seeds, "right") - 1
-        out, near = {}, blocks.where(F.struct("part", "at").isin([F.struct(*map(F.lit, keys[b])) for b in sorted(set(at.tolist()))]))
-        for r in near.where(F.col("part").isin(sorted({keys[b][0] for b in at}))).select("part", "at", "doc", "term").toLocalIterator():
-            doc, term, base = np.frombuffer(r["doc"], "<i4"), np.frombuffer(r["term"], "<u2").astype(np.int64), bases[r["part"], r["at"]]
-            by = np.argsort(doc, kind="stable")
-            ends = np.searchsorted(doc[by], np.arange(doc.max() + 2))
-            out |= {s: term[by[ends[s - base] : ends[s - base + 1]]] for s in seeds if 0 <= s - base < len(ends) - 1}
-        return [out[s] for s in seeds]
-
-    def keep(pieces: list[tuple]) -> None:
-        d, start, taken, sequence, offset = np.array(pieces, np.int64).T
-        at = np.searchsorted(first, d, "right") - 1
-        key = np.array(keys, np.int32)[at]
-        table = pa.table({"part": key[:, 0], "at": key[:, 1], "d": d - first[at], "start": start, "taken": taken, "sequence": sequence, "offset": offset})
-        spark.createDataFrame(table).write.mode("append").parquet(placed)
-
-    filler, most = Filler(sizes, length), min(FIRST, limit)
-    while seeds := filler.seeds(most):
-        found = postings.mapInArrow(_searched(terms(seeds), np.packbits(np.r_[filler.free, np.zeros(8, bool)]), idf, mean, bases, top), "counts binary, docs binary, scores binary").collect()
-        done = filler.round(seeds, _merged(found, len(seeds), top))
-        most = min(limit, max(32, 2 * done))
-        if len(filler.pieces) > 1 << 19:
-            keep(filler.pieces)
-            filler.pieces = []
-    if filler.pieces:
-        keep(filler.pieces)
-
-    def run(block: pa.Table, pieces: pa.Table) -> pa.Table:
-        row, out = block.to_pylist()[0], []
-        n, tokens = np.frombuffer(row["sizes"], "<i4"), np.frombuffer(row["tokens"], "<u2")
-        at = np.r_[0, np.cumsum(n)]
-        for d, start, taken, sequence, offset in zip(*(pieces.column(c).to_pylist() for c in ("d", "start", "taken", "sequence", "offset")), strict=True):
-            piece = tokens[at[d] + start : at[d] + start + taken].astype("<u4")
-            out.append((row["names"][d], start, taken, zlib.crc32(piece.tobytes()), int(n[d]), sequence, offset) + ((piece.astype(np.int32),) if with_ids else ()))
-        kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
-
-    texts = blocks.select("part", "at", "names", "sizes", "tokens").groupBy("part", "at")
-    return texts.cogroup(spark.read.parquet(placed).groupBy("part", "at")).applyInArrow(run, schema)
+    statistics = Statistics(df, n, tokens)
+    parts = -(-tokens // max(shard_tokens, TASK_BYTES // 4))
+    keyed = stored.withColumn("key", _keyed(statistics)("n", "terms", "tf"))
+    order = ["key", "doc_id", F.xxhash64("tokens")]
+    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "tokens").select("doc_id", "n", "tokens", "terms", "tf")
+    return placed.mapInArrow(_packed(statistics, length, shard_tokens, with_ids), schema)

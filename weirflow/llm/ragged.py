@@ -43,7 +43,7 @@ class Lane:
             live = live[sizes[live] > k]
             if not len(live):
                 break
-            part = eight[starts[live] + k] & _KEPT[np.minimum(sizes[live] - k, 8)]
+            part = eight[starts[live] + k] & KEPT[np.minimum(sizes[live] - k, 8)]
             out[live] = mix((out[live] ^ part) * U64(self.b) + U64(self.c))
         for i in np.flatnonzero(sizes > self.LONG).tolist():
             out[i] = int.from_bytes(self.digest(data[starts[i] : ends[i]], 8), "little")
@@ -74,7 +74,7 @@ def eights(data: np.ndarray) -> np.ndarray:
 
 
 #: Masks of the first n bytes of eight.
-_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,10 +115,10 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between the separators U+0020 and U+0009..U+000D: byte starts, byte ends, and word offsets by row."""
+def words(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between separators (U+0020 and U+0009..U+000D): byte starts, byte ends, and word offsets by row."""
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     first = offs[:-1][offs[:-1] < n]

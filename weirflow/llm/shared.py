@@ -4,30 +4,17 @@ from __future__ import annotations
 
 import gc
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
-
-    There is no other: a folder of the driver's own machine would be another one on each executor.
-    """
-    context = spark.sparkContext
-    set_already = context._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if set_already.isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
+from ..storage import new_folder as shared_path
+from ..storage import shared_root
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder; lost executors cost nothing but a read."""
-    checkpoint_root(df.sparkSession)
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -65,10 +52,6 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/weirflow/{name}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
