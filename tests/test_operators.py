@@ -126,7 +126,7 @@ def test_global_window(some):
 
 
 def test_grouping_needs_one_exchange(some):
-    plan = w.group_sorted(w.fixed(some, "1 second"), 4, "k").groupBy("window", "k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+    plan = w.group_sorted(w.fixed(some, "1 second"), "k").groupBy("window", "k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
 
@@ -178,6 +178,38 @@ def test_hot_ranks_equal_sorting(spark, share):
     assert [r[0] for r in a.percentile_all(df, share).collect()] == [every[min(round(share * 1000) * len(every) // 1000, len(every) - 1)]]
 
 
+@pytest.mark.parametrize(("share", "want"), [(0.0004, 4), (0.0125, 125), (0.29, 2900), (0.9996, 9996)])
+def test_ranks_of_any_share(spark, share, want):
+    """n * share is exact: no thousandths, no rounding of floats (0.29 * 10000 is 2899.9... as a float)."""
+    df = spark.range(10_000).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 10_000).alias("v"))
+    assert df.limit(1).select(scalar.rank_at(F.lit(10_000), share)).first()[0] == want
+    for found in (a.percentile_by(df, share, "k"), a.percentile_value(df, share, "k"), a.percentile_all(df, share), a.percentile_by_hot(df, share, "k")):
+        assert [r["v"] for r in found.collect()] == [want]
+    for found in (a.top_share_by(df, share, "k"), a.top_share_values(df, share, "k"), a.top_share_by_hot(df, share, "k")):
+        assert sorted(r["v"] for r in found.collect()) == list(range(10_000 - want, 10_000))
+    assert sorted(r["v"] for r in a.top_share_by(df, share, "k", largest=False).collect()) == list(range(want))
+
+
+def test_medians_and_ranks_with_null_groups_and_ties(spark):
+    rows = [(None, 1, 0), (None, 4, 1), (1, 5, 2), (1, 5, 3), (1, 5, 4), (1, None, 5), (2, None, 6), (3, 7, 7)]
+    df = spark.createDataFrame(rows, "k long, v long, i long")
+    key = lambda r: (r[0] is not None, r)
+    assert sorted(((r["k"], r["median"]) for r in a.median_by(df, "k").collect()), key=key) == [(None, 2.5), (1, 5.0), (3, 7.0)]
+    assert a.median_by(df).first()["median"] == 5.0
+    assert sorted((tuple(r) for r in a.percentile_by(df, 0.5, "k", tie="i").collect()), key=key) == [(None, 4, 1), (1, 5, 3), (3, 7, 7)]
+    assert sorted((tuple(r) for r in a.top_share_by(df, 0.7, "k", tie="i").collect()), key=key) == [(None, 4, 1), (1, 5, 2), (1, 5, 3)]
+    assert sorted((tuple(r) for r in a.top_share_by(df, 0.5, "k", tie="i", largest=False).collect()), key=key) == [(None, 1, 0), (1, 5, 2)]
+    assert a.median_by(df.where("false"), "k").count() == a.top_share_by(df.where("false"), 0.5, "k").count() == 0
+
+
+def test_no_rank_is_taken_over_a_whole_group(some):
+    """What is ranked are the rows at the cut, and what is ordered the values of the band."""
+    for df in (a.median_by(some, "k"), a.percentile_by(some, 0.5, "k"), a.top_share_by(some, 0.5, "k")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "cut_" in plan
+        assert "collect_list" not in plan
+
+
 def test_top_n_ties_go_to_the_smaller_key(spark):
     df = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, 5)], "k long, sum long").withColumn("window", F.lit(0))
     assert got(a.top_n(df, 3, "window"), "rank", "k") == [(1, 2), (2, 1), (3, 3)]
@@ -191,7 +223,7 @@ def test_rank_limit_comes_before_the_shuffle(some):
 def test_sets_and_lists(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "k long, word string")
     assert a.merge_set(df, "k").first()["values"] == ["a", "b"]
-    assert a.merge_list(df, "k").first()["values"] == ["a", "b", "b"]
+    assert got(a.merge_bag(df, "k"), "k", "word", "n") == [(1, "a", 1), (1, "b", 2)]
     assert a.distinct_count(df, "k").first()["n"] == a.distinct_count(df, "k", approximate=True).first()["n"] == 2
 
 
@@ -251,11 +283,11 @@ def test_sort_and_merge(spark):
 
 
 def test_runs(spark):
-    out = o.sorted_runs(spark.range(100).select((F.col("id") * 37 % 100).alias("k")), 3, "k")
+    out = o.sorted_runs(spark.range(0, 100, 1, 3).select((F.col("id") * 37 % 100).alias("k")), "k")
     runs = out.withColumn("p", F.spark_partition_id()).collect()
     assert len({r["p"] for r in runs}) == 3
     assert all(x["k"] < y["k"] for x, y in zip(runs, runs[1:], strict=False) if x["p"] == y["p"])
-    parts = o.partition_by_key(spark.range(100).select((F.col("id") % 7).alias("k")), 4, "k").withColumn("p", F.spark_partition_id())
+    parts = o.partition_by_key(spark.range(100).select((F.col("id") % 7).alias("k")), "k").withColumn("p", F.spark_partition_id())
     assert parts.distinct().count() == 7
     assert len(o.sample_rows(out, 5)) == 5
 

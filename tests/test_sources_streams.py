@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow import schemas
+from weirflow import schemas, storage
 from weirflow.operators import aggregate as a
 from weirflow.operators import windowing as w
 from weirflow.sources import readers as r
@@ -62,7 +62,66 @@ def test_synthetic_times(spark):
     assert r.replay(base, F.timestamp_micros(F.lit(0)), 7, "i").select(F.unix_micros("ts").alias("t")).agg(F.sum("t")).first()[0] == 21
     one, two = r.fan_out(base, 2)
     assert one.count() == two.count() == 3
-    base.unpersist()
+    left, right = r.two_outputs(base, "i")
+    assert sorted(map(tuple, left.unionByName(right).collect())) == [(i, side) for i in range(3) for side in (0, 1)]
+    parts = r.offset_range(spark, 5, 15, 4)
+    assert parts.rdd.getNumPartitions() == 4
+    assert sorted(x["offset"] for x in parts.collect()) == list(range(5, 15))
+
+
+def test_raw_files(spark, tmp_path):
+    path = write(tmp_path / "raw", "a.bin", struct.pack("<4q", 1, -2, 3, 1 << 62) + b"rest")
+    write(tmp_path / "raw", "b.bin", b"")
+    assert sorted(map(tuple, r.raw_file(spark, path, ["k", "v"]).collect())) == [(1, -2), (3, 1 << 62)]
+
+
+def test_paced_source(spark):
+    """Epochs come as time passes, whole, with gaps in event time between them."""
+    batches = []
+    rows = r.paced_stream(spark, epochs=3, per_epoch=10, every_ms=500, gap_us=500_000)
+    query = runtime.batch_sink(rows.select("i", F.unix_micros("ts").alias("t")), lambda batch, number: batches.append(sorted(map(tuple, batch.collect()))))
+    try:
+        for _ in range(200):
+            if sum(map(len, batches)) == 30:
+                break
+            query.awaitTermination(0.1)
+    finally:
+        query.stop()
+    found = sorted(x for b in batches for x in b)
+    assert found == [(i, 10_000_000 + i // 10 * 1_500_000 + i % 10 * 100_000) for i in range(30)]
+    assert sum(1 for b in batches if b) > 1
+    assert all(len(b) % 10 == 0 for b in batches)
+
+
+def test_watermark_policy_is_given_back(spark):
+    before = spark.conf.get(runtime.POLICY)
+    with runtime.least_watermark(spark):
+        assert spark.conf.get(runtime.POLICY) == "min"
+    assert spark.conf.get(runtime.POLICY) == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Only where driver and executors are one process is a folder of one's own a shared one."""
+
+    class Nothing:
+        def get(self, *_):
+            return None
+
+        def isDefined(self):  # noqa: N802
+            return False
+
+        getCheckpointDir = sc = lambda self: self  # noqa: E731, N815
+
+    class Session:
+        conf = Nothing()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            _jsc = Nothing()
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        storage.shared_root(Session)
+    assert [storage.one_process(m) for m in ("local", "local[8]", "local-cluster[2,1,1024]", "yarn")] == [True, True, False, False]
 
 
 def test_rate_and_socket_sources_start(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ def truncated_mean(total: Column, count: Column) -> Column:
     return F.try_divide(total - rest, count).cast("long")
 
 
-def words_upper(text: Column) -> Column:
-    """Runs of letters and apostrophes that begin with a letter, in upper case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.upper)
+def words(text: Column) -> Column:
+    """Runs of letters and apostrophes that begin with a letter, as they are."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def pack_ip_pair(sd_ip: Column) -> Column:
@@ -41,8 +43,8 @@ def milli(value: Column) -> Column:
 
 
 def rank_at(n: Column, share: float) -> Column:
-    """int(n * share), with the share in thousandths so that no float is rounded."""
-    return F.floor(n * F.lit(round(share * 1000)) / 1000).cast("long")
+    """int(n * share), exactly: share is taken as the decimal number that it is written as, to 15 places."""
+    return F.floor(n.cast("decimal(20,0)") * F.lit(round(Decimal(repr(float(share))), 15))).cast("long")
 
 
 def json_text(line: Column, field: str = "text") -> Column:

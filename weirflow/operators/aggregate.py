@@ -8,6 +8,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,83 +41,99 @@ def unique(df: DataFrame, *groups: str) -> DataFrame:
     return df.select(*groups).dropDuplicates(list(groups))
 
 
+def _beside(rows: DataFrame, small: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """Each row with its group's row of small; null is a group. Without groups small is one row."""
+    if not groups:
+        return rows.crossJoin(F.broadcast(small))
+    named = small.withColumnsRenamed({g: f"{g}_of_" for g in groups})
+    return rows.join(named, reduce(and_, (rows[g].eqNullSafe(named[f"{g}_of_"]) for g in groups))).drop(*(f"{g}_of_" for g in groups))
+
+
+def _cuts(df: DataFrame, low: Callable, high: Callable, share: float, groups: tuple[str, ...], value: str) -> DataFrame:
+    """(groups, n_, cut_, c_, upto_): the distinct values at the ranks low(n) to high(n), about share, of each group of n
+    rows, their counts, and how many rows are not above them.
+
+    Quantile sketches bound a narrow band about the rank; of the rows outside it only those below are counted, and of
+    those inside only distinct values are put in order. So no group is sorted whole, and a hot one is aggregated by
+    many tasks before its counts meet. Nulls are left out.
+    """
+    eps = 0.001
+    least, most = max(0.0, share - eps), min(1.0, share + eps)
+    rows = df.where(F.col(value).isNotNull()).select(*groups, value)
+    bounds = rows.groupBy(*groups).agg(F.percentile_approx(value, [least, most], 10000).alias("b_"), F.min(value).alias("least_"), F.max(value).alias("most_"), F.count(F.lit(1)).alias("n_"))
+    # The sketch's error in ranks is n / 10000; a group of few rows is its own band.
+    few = F.col("n_") < 1000
+    lo = F.col("least_") if least == 0 else F.when(few, F.col("least_")).otherwise(F.col("b_")[0])
+    hi = F.col("most_") if most == 1 else F.when(few, F.col("most_")).otherwise(F.col("b_")[1])
+    near = _beside(rows, bounds.select(*groups, "n_", lo.alias("lo_"), hi.alias("hi_")), groups).where(F.col(value) <= F.col("hi_"))
+    steps = near.groupBy(*groups, "n_", F.when(F.col(value) >= F.col("lo_"), F.col(value)).alias("cut_")).agg(F.count(F.lit(1)).alias("c_"))
+    over = Window.partitionBy(*(groups or ("n_",))).orderBy(F.col("cut_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("upto_", F.sum("c_").over(over))
+    return steps.where((F.col("upto_") > low(F.col("n_"))) & (F.col("upto_") - F.col("c_") <= high(F.col("n_"))))
+
+
 def median_by(df: DataFrame, *groups: str, value: str = "v") -> DataFrame:
-    """The middle value, or the mean of the two middle ones."""
-    return df.groupBy(*groups).agg(F.median(value).alias("median"))
+    """The middle value, or the mean of the two middle ones. Nulls are left out, and groups without a value on bounded frames."""
+    if df.isStreaming:
+        return df.groupBy(*groups).agg(F.median(value).alias("median"))
+    middle = _cuts(df, lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2), 0.5, groups, value)
+    return middle.groupBy(*groups).agg(F.avg("cut_").alias("median"))
 
 
-def _ranked(df: DataFrame, groups: tuple[str, ...], value: str, tie: str | None, largest: bool) -> DataFrame:
-    over = Window.partitionBy(*groups)
-    order = [F.col(value).desc() if largest else F.col(value)] + ([F.col(tie)] if tie else [])
-    return df.withColumn("n_", F.count(F.lit(1)).over(over)).withColumn("rank_", F.row_number().over(over.orderBy(*order)))
+def _tied(df: DataFrame, cuts: DataFrame, groups: tuple[str, ...], value: str, tie: str | None) -> DataFrame:
+    """The rows whose value is their group's cut, numbered in the order of tie; only they are ranked."""
+    equal = _beside(df, cuts, groups).where(F.col(value) == F.col("cut_"))
+    return equal.withColumn("rank_", F.row_number().over(Window.partitionBy(*groups, value).orderBy(F.col(tie) if tie else F.lit(0))))
 
 
 def percentile_by(df: DataFrame, share: float, *groups: str, value: str = "v", tie: str | None = None) -> DataFrame:
-    """The record at rank int(n * share), from 0, of each group; ties in the order of the column tie."""
-    return _ranked(df, groups, value, tie, False).where(F.col("rank_") == F.least(rank_at(F.col("n_"), share) + 1, F.col("n_"))).drop("n_", "rank_")
+    """The record at rank int(n * share), from 0, of each group; ties in the order of the column tie. Nulls are left out."""
+    want = lambda n: F.least(rank_at(n, share), n - 1)
+    cuts = _cuts(df, want, want, share, groups, value).select(*groups, "cut_", (want(F.col("n_")) - F.col("upto_") + F.col("c_") + 1).alias("at_"))
+    return _tied(df, cuts, groups, value, tie).where("rank_ = at_").select(*df.columns)
 
 
 def top_share_by(df: DataFrame, share: float, *groups: str, value: str = "v", tie: str | None = None, largest: bool = True) -> DataFrame:
-    """The int(n * share) largest records of each group."""
-    return _ranked(df, groups, value, tie, largest).where(F.col("rank_") <= rank_at(F.col("n_"), share)).drop("n_", "rank_")
+    """The int(n * share) largest (or smallest) records of each group; ties in the order of the column tie. Nulls are left out."""
+    if largest:
+        want = lambda n: n - rank_at(n, share)
+        more = rank_at(F.col("n_"), share) - (F.col("n_") - F.col("upto_"))
+    else:
+        want = lambda n: rank_at(n, share) - 1
+        more = rank_at(F.col("n_"), share) - (F.col("upto_") - F.col("c_"))
+    cuts = _cuts(df, want, want, 1 - share if largest else share, groups, value).select(*groups, "cut_", more.alias("more_"))
+    beyond = F.col(value) > F.col("cut_") if largest else F.col(value) < F.col("cut_")
+    return _beside(df, cuts, groups).where(beyond).select(*df.columns).unionByName(_tied(df, cuts, groups, value, tie).where("rank_ <= more_").select(*df.columns))
 
 
 def percentile_value(df: DataFrame, share: float, *groups: str, value: str = "v") -> DataFrame:
-    """The value at rank int(n * share) from a sorted array: the form that streams take."""
+    """The value at rank int(n * share) from a sorted array: the form that streams take, whose windows are held as state."""
     all_ = F.sort_array(F.collect_list(value))
     return df.groupBy(*groups).agg(all_.alias("all_")).select(*groups, F.element_at("all_", F.least(rank_at(F.size("all_"), share).cast("int") + 1, F.size("all_"))).alias(value))
 
 
 def top_share_values(df: DataFrame, share: float, *groups: str, value: str = "v") -> DataFrame:
-    """The int(n * share) largest values from a sorted array: the form that streams take."""
+    """The int(n * share) largest values from a sorted array: the form that streams take, whose windows are held as state."""
     all_ = F.sort_array(F.collect_list(value), asc=False)
     return df.groupBy(*groups).agg(all_.alias("all_")).select(*groups, F.explode(F.slice("all_", F.lit(1), rank_at(F.size("all_"), share).cast("int"))).alias(value))
 
 
 def percentile_all(df: DataFrame, share: float, value: str = "v") -> DataFrame:
-    """The value at rank int(n * share) of all rows, without sorting them: a narrow band about the rank is bounded by
-    quantile sketches, rows below it are counted, and only the band's distinct values are put in order."""
-    eps = 0.001
-    low, high = max(0.0, share - eps), min(1.0, share + eps)
-    bounds = df.agg(F.percentile_approx(value, [low, high], 10000).alias("b"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
-    bounds = bounds.select("n", (F.col("least") if low == 0 else F.col("b")[0]).alias("lo"), (F.col("most") if high == 1 else F.col("b")[1]).alias("hi"))
-    banded = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(bounds))  # one row
-    below = banded.agg(F.count_if(F.col(value) < F.col("lo")).alias("below"))
-    band = banded.where(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(value, "n").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(below))
-    upto = F.col("below") + F.sum("c").over(Window.partitionBy("n").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    want = F.least(rank_at(F.col("n"), share), F.col("n") - 1)
-    return band.withColumn("upto", upto).where((F.col("upto") > want) & (F.col("upto") - F.col("c") <= want)).select(value)
-
-
-def _cuts(df: DataFrame, at: Callable, share: float, groups: tuple[str, ...], value: str) -> DataFrame:
-    """(groups, n_, cut_, upto_): the value at rank at(n) of each group and how many rows are not above it.
-
-    Quantile sketches bound a narrow band about the rank; of the rows outside it only those below are counted, and of
-    those inside only distinct values are put in order. So no group is sorted whole, and a hot one is aggregated by
-    many tasks before its counts meet.
-    """
-    eps = 0.001
-    low, high = max(0.0, share - eps), min(1.0, share + eps)
-    rows = df.where(F.col(value).isNotNull()).select(*groups, value)
-    bounds = rows.groupBy(*groups).agg(F.percentile_approx(value, [low, high], 10000).alias("b_"), F.min(value).alias("least_"), F.max(value).alias("most_"), F.count(F.lit(1)).alias("n_"))
-    bounds = bounds.select(*groups, "n_", (F.col("least_") if low == 0 else F.col("b_")[0]).alias("lo_"), (F.col("most_") if high == 1 else F.col("b_")[1]).alias("hi_"))
-    near = rows.join(bounds, list(groups)).where(F.col(value) <= F.col("hi_"))
-    steps = near.groupBy(*groups, "n_", F.when(F.col(value) >= F.col("lo_"), F.col(value)).alias("cut_")).agg(F.count(F.lit(1)).alias("c_"))
-    upto = F.sum("c_").over(Window.partitionBy(*groups).orderBy(F.col("cut_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    steps = steps.withColumn("upto_", upto)
-    return steps.where((F.col("upto_") > at(F.col("n_"))) & (F.col("upto_") - F.col("c_") <= at(F.col("n_")))).select(*groups, "n_", "cut_", "upto_")
+    """The value at rank int(n * share) of all rows."""
+    return percentile_by_hot(df, share, value=value)
 
 
 def percentile_by_hot(df: DataFrame, share: float, *groups: str, value: str = "v") -> DataFrame:
-    """percentile_by's values for few, huge groups; nulls are left out."""
-    found = _cuts(df, lambda n: F.least(rank_at(n, share), n - 1), share, groups, value)
-    return found.select(*groups, F.col("cut_").alias(value))
+    """percentile_by's values alone: rows meet their group's bounds once and nothing else."""
+    want = lambda n: F.least(rank_at(n, share), n - 1)
+    return _cuts(df, want, want, share, groups, value).select(*groups, F.col("cut_").alias(value))
 
 
 def top_share_by_hot(df: DataFrame, share: float, *groups: str, value: str = "v") -> DataFrame:
-    """top_share_by's values for few, huge groups: all above the cut, and as many equal to it as are wanted."""
-    cuts = _cuts(df, lambda n: n - rank_at(n, share), 1 - share, groups, value)
-    above = df.join(cuts, list(groups)).where(F.col(value) > F.col("cut_")).select(*groups, value)
+    """top_share_by's values alone: all above the cut, and as many equal to it as are wanted, which need no rank."""
+    want = lambda n: n - rank_at(n, share)
+    cuts = _cuts(df, want, want, 1 - share, groups, value)
+    above = _beside(df, cuts, groups).where(F.col(value) > F.col("cut_")).select(*groups, value)
     equal = cuts.withColumn("more_", rank_at(F.col("n_"), share) - (F.col("n_") - F.col("upto_"))).where("more_ > 0")
     part = 10_000  # equal values are made in parts, however many there are
     equal = equal.withColumn("at_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("more_") - 1) / part))))
@@ -140,9 +157,10 @@ def merge_set(df: DataFrame, *groups: str, value: str = "word") -> DataFrame:
     return df.groupBy(*groups).agg(F.sort_array(F.collect_set(value)).alias("values"))
 
 
-def merge_list(df: DataFrame, *groups: str, value: str = "word") -> DataFrame:
-    """All values together, sorted so that the result doesn't depend on arrival."""
-    return df.groupBy(*groups).agg(F.sort_array(F.collect_list(value)).alias("values"))
+def merge_bag(df: DataFrame, *groups: str, value: str = "word") -> DataFrame:
+    """All values together, as rows (groups, value, n) for each distinct one: what merged vectors hold, without a buffer that
+    grows with a window."""
+    return df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_count(df: DataFrame, *groups: str, value: str = "word", approximate: bool = False) -> DataFrame:

@@ -11,9 +11,9 @@ def sort(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def sorted_runs(df: DataFrame, runs: int, *keys: str) -> DataFrame:
-    """Independently sorted runs, for what needs order inside a partition alone."""
-    return df.repartition(runs).sortWithinPartitions(*keys)
+def sorted_runs(df: DataFrame, *keys: str) -> DataFrame:
+    """Independently sorted runs, for what needs order inside a partition alone: the partitions that are there, no exchange."""
+    return df.sortWithinPartitions(*keys)
 
 
 def merge(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
@@ -30,9 +30,9 @@ def concatenate(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def partition_by_key(df: DataFrame, parts: int, key: str) -> DataFrame:
-    """Key-aligned partitions: no key is cut."""
-    return df.repartition(parts, key)
+def partition_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Key-aligned partitions: no key is cut. Their number is the session's, and adaptive execution joins small ones."""
+    return df.repartition(key)
 
 
 def sample_rows(df: DataFrame, n: int) -> list:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import words_upper
+from ..functions.scalar import words
 
 
 def filter_band(df: DataFrame, column: str, low: int, high: int) -> DataFrame:
@@ -31,7 +31,8 @@ def tag_side(df: DataFrame, column: str, side: int) -> DataFrame:
 
 def tokens(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep, word, n = 1) for every word of the text, in upper case."""
-    return df.select(*keep, F.explode(words_upper(F.col(column))).alias("word"), F.lit(1).cast("long").alias("n"))
+    found = df.select(*keep, F.explode(words(F.col(column))).alias("word"))
+    return found.select(*keep, F.upper("word").alias("word"), F.lit(1).cast("long").alias("n"))
 
 
 def lines(df: DataFrame, column: str = "text", keep: tuple[str, ...] = (), slices: bool = False) -> DataFrame:

@@ -50,14 +50,15 @@ def session_end():
     return F.col("window.end") + F.expr("interval 1 microsecond")
 
 
-def group_sorted(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
-    """Rows of a window and key side by side: hash partitions by window and first key, sorted by all keys."""
-    return df.repartition(partitions, "window", keys[0]).sortWithinPartitions("window", *keys)
+def group_sorted(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a window and key side by side, for what needs the rows themselves: hash partitions by window and first key,
+    sorted by all keys. An aggregate should not come through here: its own exchange sends partial results, not rows."""
+    return df.repartition("window", keys[0]).sortWithinPartitions("window", *keys)
 
 
-def regroup(df: DataFrame, partitions: int, key: str) -> DataFrame:
+def regroup(df: DataFrame, key: str) -> DataFrame:
     """An already windowed stream by another key."""
-    return group_sorted(df, partitions, key)
+    return group_sorted(df, key)
 
 
 def global_window(df: DataFrame) -> DataFrame:

@@ -116,6 +116,22 @@ def top_share_by_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"), F.min("v").alias("least"))
 
 
+_FINE = f"""SELECT share, k, v FROM (SELECT share, part, k, v, count(*) OVER w AS n, row_number() OVER (w ORDER BY v) AS r
+FROM {_HOT}, (VALUES ('0.0004', 4), ('0.0125', 125), ('0.9996', 9996)) AS s(share, part) WINDOW w AS (PARTITION BY share, k)) WHERE r = least(n * part // 10000 + 1, n)"""
+
+
+@query(_FINE)
+def percentile_at_fine_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares that are no whole thousandths."""
+    rows = _few_keys(spark, sf_dir)
+    return ordering.concatenate(*(a.percentile_by_hot(rows, share, "k").select(F.lit(str(share)).alias("share"), "k", "v") for share in (0.0004, 0.0125, 0.9996)))
+
+
+@query(f"SELECT event_id, k, v FROM (SELECT event_id, k, v, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY v DESC, event_id) AS r FROM {EVENTS}) WHERE r <= n * 125 // 10000")
+def top_fine_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.top_share_by(events(spark, sf_dir), 0.0125, "k", tie="event_id").select("event_id", "k", "v")
+
+
 @query(f"SELECT v FROM (SELECT v, count(*) OVER () AS n, row_number() OVER (ORDER BY v) AS r FROM {EVENTS}) WHERE r = least(n * 900 // 1000 + 1, n)")
 def percentile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.percentile_all(events(spark, sf_dir), 0.9)
@@ -133,8 +149,13 @@ def bottom_share_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT k, {_SUM} FROM {ITEMS} GROUP BY k")
 def sum_of_key_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key-aligned partitions come first; the aggregation keeps them."""
-    return a.sum_by(ordering.partition_by_key(items(spark, sf_dir), 8, "k"), "k")
+    """The aggregation's exchange makes the key-aligned partitions, of partial sums."""
+    return a.sum_by(items(spark, sf_dir), "k")
+
+
+@query(f"SELECT k, v, ts FROM {ITEMS}")
+def key_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.partition_by_key(items(spark, sf_dir), "k").select("k", "v", "ts")
 
 
 # Windowed modes --------------------------------------------------------------------------------------------------------
@@ -223,9 +244,9 @@ def merged_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(a.merge_set(_daily(spark, sf_dir), "window", value="k2")).withColumn("values", F.array_join("values", ","))
 
 
-@query(f"SELECT w_start, w_end, string_agg(k2, ',' ORDER BY k2) AS values FROM {_W} GROUP BY ALL")
+@query(f"SELECT w_start, w_end, k2, {_N} FROM {_W} GROUP BY ALL")
 def merged_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(a.merge_list(_daily(spark, sf_dir), "window", value="k2")).withColumn("values", F.array_join("values", ","))
+    return flat(a.merge_bag(_daily(spark, sf_dir), "window", value="k2"))
 
 
 @query(f"SELECT w_start, w_end, CAST(count(DISTINCT k) AS BIGINT) AS n FROM {_W} GROUP BY ALL")
@@ -233,12 +254,11 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(a.distinct_count(_daily(spark, sf_dir), "window", value="k"))
 
 
-@query(f"SELECT w_start, w_end, count(DISTINCT k) > 0 AS close FROM {_W} GROUP BY ALL")
+@query(f"SELECT w_start, w_end, CAST(count(DISTINCT k) AS BIGINT) AS exact, true AS close FROM {_W} GROUP BY ALL")
 def distinct_counts_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HyperLogLog++ against the exact count: within a fifth of it."""
-    day = _daily(spark, sf_dir)
-    near = a.distinct_count(day, "window", value="k", approximate=True).join(a.distinct_count(day, "window", value="k").withColumnRenamed("n", "exact"), "window")
-    return flat(near.select("window", (F.abs(F.col("n") - F.col("exact")) <= F.col("exact") * 0.2).alias("close")))
+    """HyperLogLog++ beside the exact count, and whether it is within a fifth of it."""
+    near = _daily(spark, sf_dir).groupBy("window").agg(F.approx_count_distinct("k").alias("n"), F.count_distinct("k").alias("exact"))
+    return flat(near.select("window", "exact", (F.abs(F.col("n") - F.col("exact")) <= F.col("exact") * 0.2).alias("close")))
 
 
 @query(f"SELECT w_start, w_end, k, max(v) - min(v) AS spread, {_N} FROM {_W} GROUP BY ALL")

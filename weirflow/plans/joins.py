@@ -1,4 +1,4 @@
-"""Queries of joins, sorting, merging and union, and the reference's pipelines that combine them."""
+"""Queries of joins, sorting, merging and union, and pipelines that combine them."""
 
 from __future__ import annotations
 
@@ -21,11 +21,11 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("k2 = 'purchase'"), rows.where("k2 = 'error'")
 
 
-@query(f"""WITH l AS (SELECT * FROM {EVENTS} WHERE k2 = 'purchase' AND v > 15000), r AS (SELECT * FROM {EVENTS} WHERE k2 = 'error' AND v < 3000)
+@query(f"""WITH l AS (SELECT * FROM {EVENTS} WHERE k2 = 'purchase'), r AS (SELECT * FROM {EVENTS} WHERE k2 <> 'purchase')
 SELECT event_id, k, k2, v FROM l WHERE k IN (SELECT k FROM r) UNION ALL SELECT event_id, k, k2, v FROM r WHERE k IN (SELECT k FROM l)""")
 def join_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
-    return j.join_by_key(rows.where("k2 = 'purchase' and v > 15000"), rows.where("k2 = 'error' and v < 3000"), "k").select("event_id", "k", "k2", "v")
+    return j.join_by_key(rows.where("k2 = 'purchase'"), rows.where("k2 != 'purchase'"), "k").select("event_id", "k", "k2", "v")
 
 
 @query(f"""WITH l AS (SELECT * FROM {_W} WHERE k2 = 'purchase'), r AS (SELECT * FROM {_W} WHERE k2 = 'error')
@@ -87,13 +87,13 @@ def sort_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, k, v FROM {EVENTS}")
 def sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.sorted_runs(events(spark, sf_dir).select("event_id", "k", "v"), 8, "k", "v")
+    return ordering.sorted_runs(events(spark, sf_dir).select("event_id", "k", "v"), "k", "v")
 
 
-@query(f"SELECT event_id, k, v FROM {EVENTS} WHERE k2 IN ('purchase', 'error') ORDER BY k, event_id")
+@query(f"SELECT event_id, k, v FROM {EVENTS} ORDER BY k, event_id")
 def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
-    return ordering.merge(rows.where("k2 = 'purchase'"), rows.where("k2 = 'error'"), "k", "event_id").select("event_id", "k", "v")
+    return ordering.merge(rows.where("k2 = 'purchase'"), rows.where("k2 != 'purchase'"), "k", "event_id").select("event_id", "k", "v")
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")

@@ -12,8 +12,9 @@ from ..operators import joins as j
 from ..operators import stateless
 from ..operators import windowing as w
 from ..sources import readers
+from ..storage import new_folder
 from ..streaming import runtime
-from .aggregates import _TOP10
+from .aggregates import _WORDS
 from .joins import grid
 from .registry import EVENTS, keyed, query, table
 
@@ -92,72 +93,88 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w_start, w_end, event_id, k, v FROM l WHERE (w_start, k) IN (SELECT (w_start, k) FROM r)
 UNION ALL SELECT w_start, w_end, event_id, k, v FROM r WHERE (w_start, k) IN (SELECT (w_start, k) FROM l)""")
 def stream_join_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runtime.least_watermark(spark)
     left, right = _daily(spark, sf_dir).where("k2 = 'purchase'"), _daily(spark, sf_dir).where("k2 = 'error'")
-    return _done(j.join_by_key(left, right, "window", "k").select("window", "event_id", "k", "v"), "join")
+    with runtime.least_watermark(spark):
+        return _done(j.join_by_key(left, right, "window", "k").select("window", "event_id", "k", "v"), "join")
 
 
 @query(f"""SELECT l.k, l.v AS left_v, r.v AS right_v, r.ts FROM {EVENTS} l JOIN {EVENTS} r ON l.k = r.k
 AND r.ts >= l.ts - INTERVAL '6 hours' AND r.ts < l.ts + INTERVAL '6 hours' WHERE l.k2 = 'purchase' AND r.k2 = 'error'""")
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runtime.least_watermark(spark)
     left, right = _events(spark, sf_dir).where("k2 = 'purchase'"), _events(spark, sf_dir).where("k2 = 'error'")
     found = j.interval_join_stream(left, right, "6 hours")
-    return _done(found.select("k", F.col("values")[0].alias("left_v"), F.col("values")[1].alias("right_v"), "ts"), "interval")
+    with runtime.least_watermark(spark):
+        return _done(found.select("k", F.col("values")[0].alias("left_v"), F.col("values")[1].alias("right_v"), "ts"), "interval")
 
 
 @query(f"""WITH p AS (SELECT w_start, w_end, k2 AS house, k AS plug, avg(v) AS a FROM {_W} WHERE {_CLOSED} GROUP BY ALL), g AS (SELECT w_start, avg(v) AS g FROM {_W} GROUP BY w_start)
 SELECT w_start, w_end, house, {_N} FROM p JOIN g USING (w_start) WHERE a > g GROUP BY w_start, w_end, house""")
 def stream_grid_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grid_load on a stream: two aggregations, their join on the window, and an aggregation of that."""
-    runtime.least_watermark(spark)
     plugs = a.avg_by(_daily(spark, sf_dir), "window", "k2", "k")
     mean = a.avg_by(_daily(spark, sf_dir), "window").select("window", F.col("avg").alias("g"))
     high = plugs.join(mean, "window").where("avg > g")
-    return _done(high.groupBy("window", F.col("k2").alias("house")).agg(F.count(F.lit(1)).alias("n")), "grid")
+    with runtime.least_watermark(spark):
+        return _done(high.groupBy("window", F.col("k2").alias("house")).agg(F.count(F.lit(1)).alias("n")), "grid")
 
 
-@query(_TOP10)
+@query(f"""SELECT w_start, w_end, k, sum, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY w_start ORDER BY sum DESC, k) AS INTEGER) AS rank FROM (
+SELECT w_start, w_end, k, CAST(sum(v) AS BIGINT) AS sum FROM {_W} WHERE {_CLOSED} GROUP BY ALL)) WHERE rank <= 10""")
 def stream_top_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks are taken in each micro-batch of the complete sums, as streams have no ranking."""
-    path = runtime.shared_folder(spark, "top10")
+    """Streams have no ranking: a window's sums come in one micro-batch, when it closes, and are ranked there. State goes
+    with the watermark."""
+    path = new_folder(spark, "top10")
     sums = a.sum_by(_daily(spark, sf_dir), "window", "k")
 
     def each(batch: DataFrame, number: int) -> None:
-        runtime.without_zone(a.top_n(batch, 10, "window")).write.mode("overwrite").parquet(path)
+        runtime.without_zone(a.top_n(batch, 10, "window")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    runtime.batch_sink(sums, each, "complete", f"{path}-progress", available_now=True).awaitTermination()
-    return spark.read.parquet(path)
+    runtime.batch_sink(sums, each, "append", f"{path}-progress", available_now=True).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
+IDLE_MS = 30 * 86_400_000
 
 
 @query(f"SELECT k, CAST(sum(v) AS BIGINT) AS total, {_N} FROM {EVENTS} GROUP BY k")
 def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals of each key in a state of our own; every micro-batch adds rows, the last of a key counts."""
+    """Running totals of each key in a state of our own; every micro-batch adds rows, the last of a key counts.
+
+    The state of a key without rows for IDLE_MS of event time goes; the key's next row begins a new total, told from
+    the old one by its first time.
+    """
 
     def update(key, frames, state):
-        total, n = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        began, total, n, last = state.get if state.exists else (None, 0, 0, 0)
         for frame in frames:
-            total, n = total + int(frame.v.sum()), n + len(frame)
-        state.update((total, n))
-        yield pd.DataFrame([[*key, total, n]], columns=["k", "total", "n"])
+            micros = frame.ts.astype("datetime64[us]").astype("int64")
+            began = int(micros.min()) if began is None else began
+            total, n, last = total + int(frame.v.sum()), n + len(frame), max(last, int(micros.max()) // 1000)
+        state.update((began, total, n, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + IDLE_MS)
+        yield pd.DataFrame([[*key, began, total, n]], columns=["k", "began", "total", "n"])
 
-    path = runtime.shared_folder(spark, "totals")
-    totals = runtime.keyed_state(_events(spark, sf_dir).select("k", "v"), ("k",), update, "k long, total long, n long", "total long, n long")
+    path = new_folder(spark, "totals")
+    rows = _events(spark, sf_dir).select("k", "v", "ts")
+    totals = runtime.keyed_state(rows, ("k",), update, "k long, began long, total long, n long", "began long, total long, n long, last long", "EventTimeTimeout")
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     runtime.batch_sink(totals, each, "update", f"{path}-progress", available_now=True).awaitTermination()
-    return spark.read.schema("k long, total long, n long, batch int").parquet(path).groupBy("k").agg(F.max_by("total", "batch").alias("total"), F.max_by("n", "batch").alias("n"))
+    seen = spark.read.schema("k long, began long, total long, n long, batch int").parquet(path)
+    last = seen.groupBy("k", "began").agg(F.max_by("total", "batch").alias("total"), F.max_by("n", "batch").alias("n"))
+    return last.groupBy("k").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-@query("""SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(upper(regexp_replace(text, '[^\\x00-\\x7F]', '.', 'g')), '[A-Z][A-Z'']*')) AS word FROM documents)
-WHERE word LIKE 'TH%' GROUP BY word""")
+@query(f"SELECT w_start, w_end, word, {_N} FROM {_WORDS} WHERE w_end <= (SELECT make_timestamp(max(doc_id) * 50000) - INTERVAL '10 seconds' FROM documents) GROUP BY ALL")
 def stream_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the words that begin with TH; each micro-batch writes the complete counts."""
+    """Counts of all words by window; a window's counts leave the state when it closes."""
     path = f"{sf_dir}/documents.parquet"
     docs = readers.parquet_stream(spark, path, table(spark, sf_dir, "documents").schema)
-    words = stateless.tokens(docs).where("word like 'TH%'").groupBy("word").agg(F.sum("n").alias("n"))
-    target = runtime.shared_folder(spark, "words")
-    runtime.batch_sink(words, lambda batch, number: batch.write.mode("overwrite").parquet(target), "complete", f"{target}-progress", available_now=True).awaitTermination()
-    return spark.read.parquet(target)
+    docs = runtime.watermarked(docs.select(F.timestamp_micros(F.col("doc_id") * 50_000).alias("ts"), "text"))
+    words = stateless.tokens(w.fixed(docs, "1 second"), keep=("window",))
+    return _done(words.groupBy("window", "word").agg(F.sum("n").alias("n")), "words")

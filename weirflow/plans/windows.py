@@ -32,18 +32,26 @@ _BY_KEY = f"SELECT s AS w_start, s + INTERVAL '1 day' AS w_end, {{0}}, {_COUNT}
 
 @query(_BY_KEY.format("k"))
 def window_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are dealt once, by window and key; the aggregation needs no further exchange."""
-    return _counted(w.group_sorted(w.fixed(events(spark, sf_dir), "1 day"), 8, "k"), "k")
+    """One exchange, of partial counts by window and key."""
+    return _counted(w.fixed(events(spark, sf_dir), "1 day"), "k")
 
 
 @query(_BY_KEY.format("k, k2"))
 def window_by_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(w.group_sorted(w.fixed(events(spark, sf_dir), "1 day"), 8, "k", "k2"), "k", "k2")
+    return _counted(w.fixed(events(spark, sf_dir), "1 day"), "k", "k2")
 
 
 @query(_BY_KEY.format("k2"))
 def regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(w.regroup(w.group_sorted(w.fixed(events(spark, sf_dir), "1 day"), 8, "k"), 8, "k2"), "k2")
+    """Counts by one key are counted anew by another: only partial results move."""
+    counts = w.fixed(events(spark, sf_dir), "1 day").groupBy("window", "k", "k2").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"))
+    return flat(counts.groupBy("window", "k2").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")))
+
+
+@query(f"SELECT w_start, w_start + INTERVAL '1 day' AS w_end, k, event_id, v FROM (SELECT k, event_id, v, time_bucket(INTERVAL '1 day', ts) AS w_start FROM {EVENTS})")
+def grouped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows themselves, those of a window and key side by side."""
+    return flat(w.group_sorted(w.fixed(events(spark, sf_dir), "1 day"), "k").select("window", "k", "event_id", "v"))
 
 
 _SLIDING = f"""SELECT s AS w_start, s + INTERVAL '24 hours' AS w_end, k, {_COUNT} FROM (

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import struct
+import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..functions.scalar import json_text, pack_ip_pair
 
@@ -61,6 +64,33 @@ def from_buffer(spark: SparkSession, raw: bytes, columns: list[str]) -> DataFram
     return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns))
 
 
+def _int64(part: Column, at: int) -> Column:
+    """A little-endian 64-bit integer, at bytes into a binary column."""
+    octets = [F.conv(F.hex(F.substring(part, at + 1 + j, 1)), 16, 10).cast("long") for j in range(8)]
+    return reduce(Column.bitwiseOR, (F.shiftleft(b, 8 * j) for j, b in enumerate(octets)))
+
+
+def _records(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(part): the records of width bytes of the files in path; an incomplete last one is left out. A file is one task's."""
+    files = spark.read.format("binaryFile").load(path).select("content", F.floor(F.length("content") / width).cast("int").alias("n")).where("n > 0")
+    return files.select("content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(F.substring(F.col("content"), F.col("i") * width + 1, F.lit(width)).alias("part"))
+
+
+def raw_file(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """from_buffer() of files that executors read."""
+    return _records(spark, path, 8 * len(columns)).select(*(_int64(F.col("part"), 8 * i).alias(c) for i, c in enumerate(columns)))
+
+
+def offset_range(spark: SparkSession, first: int, end: int, splits: int) -> DataFrame:
+    """Offsets first to end - 1 in so many splits, each read by a task of its own."""
+    return spark.range(first, end, 1, splits).withColumnRenamed("id", "offset")
+
+
+def two_outputs(df: DataFrame, value: str = "v") -> tuple[DataFrame, DataFrame]:
+    """A source of integers for both inputs of a join: (value, side) with side 0 and 1. Nothing is kept, both read the source."""
+    return tuple(df.select(F.col(value), F.lit(side).alias("side")) for side in (0, 1))
+
+
 def from_values(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -90,14 +120,9 @@ def integers(spark: SparkSession, path: str) -> DataFrame:
 
 def netmon_binary(spark: SparkSession, path: str) -> DataFrame:
     """Records of 32 bytes 'a.b.c.d-e.f.g.h' filled with zeros and a little-endian 64-bit round-trip time."""
-    files = spark.read.format("binaryFile").load(path).select("content", F.explode(F.sequence(F.lit(0), F.floor(F.length("content") / 40).cast("int") - 1)).alias("i"))
-    part = F.substring(F.col("content"), F.col("i") * 40 + 1, F.lit(40))
+    part = F.col("part")
     name = F.regexp_replace(F.substring(part, 1, 32).cast("string"), "\\x00+$", "")
-    bytes_ = [F.conv(F.hex(F.substring(part, 33 + j, 1)), 16, 10).cast("long") for j in range(8)]
-    value = bytes_[0]
-    for j in range(1, 8):
-        value = value.bitwiseOR(F.shiftleft(bytes_[j], 8 * j))
-    return files.select(name.alias("sd_ip"), value.alias("rtt")).withColumn("ippair", pack_ip_pair(F.col("sd_ip")))
+    return _records(spark, path, 40).select(name.alias("sd_ip"), _int64(part, 32).alias("rtt")).withColumn("ippair", pack_ip_pair(F.col("sd_ip")))
 
 
 def socket_stream(spark: SparkSession, host: str, port: int) -> DataFrame:
@@ -127,5 +152,66 @@ def produce(df: DataFrame, path: str, bundles: int, order: str = "ts") -> None:
 
 
 def fan_out(df: DataFrame, n: int) -> list[DataFrame]:
-    """One stream for n consumers; a bounded one is kept for them."""
-    return [df if df.isStreaming else df.cache()] * n
+    """One input for n consumers, each of which reads it anew: nothing is held that someone would have to let go."""
+    return [df] * n
+
+
+class Paced(DataSource):
+    """A source that replays records at a target rate: epoch after epoch of per_epoch records, a session gap after each.
+
+    Options: epochs; per_epoch; splits, the tasks of an epoch; every_ms, after which the next epoch is due (0: all are due
+    at once); epoch_us, gap_us and start_us of event time. Records are (i, ts), numbered from 0; an epoch's are spread evenly
+    over it. What is late to be asked for is handed out with the next batch, so a slow consumer sets the pace.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paced"
+
+    def schema(self) -> str:
+        return "i bigint, ts timestamp"
+
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _PacedReader(self.options)
+
+
+class _Part(InputPartition):
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
+
+
+class _PacedReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        get = lambda name, default: int(options.get(name, default))
+        self.epochs, self.per_epoch, self.splits, self.every_ms = get("epochs", 10), get("per_epoch", 1000), get("splits", 2), get("every_ms", 1000)
+        self.epoch_us, self.gap_us, self.start_us = get("epoch_us", 1_000_000), get("gap_us", 0), get("start_us", 10_000_000)
+        self.began = time.monotonic()
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"epoch": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        due = self.epochs if not self.every_ms else int((time.monotonic() - self.began) * 1000) // self.every_ms + 1
+        return {"epoch": min(self.epochs, due)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        edges = [e * self.per_epoch + self.per_epoch * s // self.splits for e in range(start["epoch"], end["epoch"]) for s in range(self.splits)]
+        return [_Part(a, b) for a, b in zip(edges, [*edges[1:], end["epoch"] * self.per_epoch], strict=True)]
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def read(self, partition: _Part):
+        import numpy as np
+        import pyarrow as pa
+
+        i = np.arange(partition.first, partition.end)
+        epoch, within = i // self.per_epoch, i % self.per_epoch
+        ts = self.start_us + epoch * (self.epoch_us + self.gap_us) + within * self.epoch_us // self.per_epoch
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ts, pa.timestamp("us", "UTC"))], ["i", "ts"])
+
+
+def paced_stream(spark: SparkSession, **options: int) -> DataFrame:
+    """A stream of Paced."""
+    spark.dataSource.register(Paced)
+    return spark.readStream.format("paced").options(**options).load()

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.scalar import micros_of, plain_time
+from ..storage import new_folder
 
 SLACK = "10 seconds"
 
@@ -22,9 +22,18 @@ def watermarked(df: DataFrame, ts: str = "ts", slack: str = SLACK) -> DataFrame:
     return df.withWatermark(ts, slack)
 
 
-def least_watermark(spark: SparkSession) -> None:
-    """After a join the slower side decides."""
-    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+POLICY = "spark.sql.streaming.multipleWatermarkPolicy"
+
+
+@contextmanager
+def least_watermark(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside: after a join the slower side decides. The session's own setting comes back."""
+    before = spark.conf.get(POLICY)
+    spark.conf.set(POLICY, "min")
+    try:
+        yield
+    finally:
+        spark.conf.set(POLICY, before)
 
 
 def memory_sink(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
@@ -43,12 +52,6 @@ def parquet_sink(df: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that the cluster shares, spark.checkpoint.dir; without one (tests), in a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weirflow-")
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-
-
 def without_zone(df: DataFrame) -> DataFrame:
     """df with its timestamps, and those of a window, as UTC times without a zone; the window becomes two columns."""
     if "window" in df.columns:
@@ -56,10 +59,12 @@ def without_zone(df: DataFrame) -> DataFrame:
     return df.withColumns({c: plain_time(F.unix_micros(c)) for c, kind in df.dtypes if kind == "timestamp"})
 
 
-def run_available(df: DataFrame, name: str) -> DataFrame:
-    """Works off all that a stream's source holds, in append mode, into files of the shared folder; returns what they hold."""
-    path = shared_folder(df.sparkSession, name)
-    parquet_sink(df, path, f"{path}-progress", available_now=True).awaitTermination()
+def run_available(df: DataFrame, name: str, available_now: bool = True) -> DataFrame:
+    """Works off all that a stream's source holds, in append mode, into files of the shared folder; returns what they hold.
+    Sources written in Python want available_now=False."""
+    path = new_folder(df.sparkSession, f"stream-{name}")
+    query = parquet_sink(df, path, f"{path}-progress", available_now)
+    query.awaitTermination() if available_now else drain(query)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
