@@ -5,11 +5,12 @@ i; from round T on, round i serves bin i - T alone, so that every bin is filled
 well over T elements fills all bins in the first round or two. Each bin keeps its least value; two sets agree in
 a bin with probability equal to their Jaccard similarity, with concentration as for independent MinHash.
 
-Links are exact: candidates come from BANDS bands of ROWS bins (at a similarity of 0.8 a pair is missed with
-probability (1 - 0.8**4)**32 = 5e-8) and are confirmed on the full shingle sets. Sets that are equal form one
+Links are exact: candidates come from bands of bins (at a similarity of 0.8, 32 bands of 4; a pair is missed with
+probability (1 - 0.8**4)**32 = 5e-8, and with MISSED at most for other thresholds) and are confirmed on the full shingle sets. Sets that are equal form one
 node. In a bucket each node is first compared with one centre, the node that shares most buckets; what these
 comparisons tie together but leave in different components is then compared exactly, block by block, after nodes
-that have too few shingles in common with any other have left. So no cap is needed, no pair but a link becomes a row.
+that have too few shingles in common with any other have left; large clusters are parted by rare shingles before. So no
+cap is needed, no pair but a link becomes a row.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ from pyspark.sql import functions as F
 from . import ragged as rg
 from .shared import components, cut, fresh, release, small_batches
 
-BINS, ROWS = 128, 4
-BANDS = BINS // ROWS
+BINS, ROWS = 128, (4, 2, 1)
+#: Chance that a pair at the threshold shares no band, at most.
+MISSED = 1e-6
 #: Nodes in a block when components are compared.
 BLOCK_FEW, BLOCK_ALL = 256, 2048
+#: Blocks of a cluster at most that is compared as it is; pairs that one copy of their centre's text serves.
+BLOCKS, CHUNK = 4, 1000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ROUND = np.arange(1, 2 * 4096 + 1, dtype=np.uint64) * _GOLD
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -72,7 +76,15 @@ def sketch(values: np.ndarray, at: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out.reshape(n, bins)
 
 
-def band_keys(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def rows_for(percent: int) -> int:
+    """Bins of a band: the most that keep what is missed under MISSED."""
+    for rows in ROWS:
+        if (1 - (percent / 100) ** rows) ** (BINS // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{BINS} bins don't find pairs of a similarity of {percent} percent")
+
+
+def band_keys(sketches: np.ndarray, rows: int = 4) -> np.ndarray:
     """One 64-bit key for each band of each sketch; the band's number is part of the key."""
     n, bins = sketches.shape
     parts = sketches.reshape(n, bins // rows, rows)
@@ -88,16 +100,18 @@ def _digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
-def _features(k: int):
+def _features(k: int, rows: int):
+    bands = BINS // rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in rg.blocks(batch.column(1)):
                 values, at = shingle_sets(data, offs, k)
                 sizes = np.diff(at)
-                keys = band_keys(sketch(values, at)).view(np.int64)
+                keys = band_keys(sketch(values, at), rows).view(np.int64)
                 some = sizes > 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), *(pa.array(x) for x in _digests(values, at).T.copy()), rg.flat_lists(keys[some].ravel(), some * BANDS, pa.int64())],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), *(pa.array(x) for x in _digests(values, at).T.copy()), rg.flat_lists(keys[some].ravel(), some * bands, pa.int64())],
                     ["doc_id", "text_hash", "n_shingles", "ca", "cb", "bands"],
                 )
 
@@ -105,26 +119,22 @@ def _features(k: int):
 
 
 def _verify(k: int, percent: int):
-    def one(text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode(), np.uint8)
-        return shingle_sets(data, np.array([0, len(data)]), k)[0]
+    """Rows (u, v, chunk, text) come by v and chunk, the centre's first, with u null; a pair is linked or not by its full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[int, np.ndarray] = {}
+        centre = np.zeros(0, np.uint64)
         for batch in batches:
-            v, other, ok = batch.column(1).to_pylist(), batch.column(3), np.zeros(len(batch), bool)
-            for a, b, data, offs in rg.blocks(batch.column(2)):
+            is_centre, ok = batch.column(0).is_null().to_numpy(zero_copy_only=False), np.zeros(len(batch), bool)
+            for a, b, data, offs in rg.blocks(batch.column(3)):
                 values, at = shingle_sets(data, offs, k)
                 for i in range(a, b):
-                    if v[i] not in near:
-                        if len(near) >= 64:
-                            near.pop(next(iter(near)))
-                        near[v[i]] = one(other[i].as_py())
-                    x, y = values[at[i - a] : at[i - a + 1]], near[v[i]]
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["u", "v", "ok"])
+                    x = values[at[i - a] : at[i - a + 1]]
+                    if is_centre[i]:
+                        centre = x
+                    elif 100 * min(len(x), len(centre)) >= percent * max(len(x), len(centre)):
+                        both = len(np.intersect1d(x, centre, assume_unique=True))
+                        ok[i] = 100 * both >= percent * (len(x) + len(centre) - both)
+            yield batch.select(["u", "v"]).filter(pa.array(ok))
 
     return run
 
@@ -170,7 +180,7 @@ def _with_bounds(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
 def _links_of_block(percent: int):
     def run(table: pa.Table) -> pa.Table:
         node, part, few = (table.column(c).to_numpy() for c in ("node", "component", "few"))
-        lists = table.column("s").combine_chunks()
+        lists = table.column("set").combine_chunks()
         at, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
         sizes = np.diff(at)
         names, ids = np.unique(values, return_inverse=True)
@@ -192,29 +202,53 @@ def _links_of_block(percent: int):
     return run
 
 
+def _by_prefix(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """open_ with a row for each shingle s of a node's prefix: its rarest shingles, as many as leave less than percent of the
+    set. Two linked nodes have one of them in common; what a whole cluster shares is common and comes last."""
+    held = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_shingles(k), "node long, s long")
+    df = held.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    sets = held.join(fresh(df, "s"), "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    n = F.size("all")
+    rare = sets.select("node", F.explode(F.slice("all", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("r")).where("r.df > 1").select("node", "r.s")
+    return open_.drop("s").join(rare, "node")
+
+
 def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components of one cluster, exactly: its nodes outside the largest component against all.
 
-    Both sides are dealt into blocks of bounded size and each pair of blocks is one task's work on whole sets; a pair
-    of nodes is never a row unless it is a link.
+    A cluster of more than BLOCKS blocks is parted first, into the nodes that share a shingle of their prefixes: so work
+    does not grow with the square of a cluster, but with those of its rare shingles. Both sides of a part are dealt into
+    blocks of bounded size and each pair of blocks is one group's work on whole sets; a pair of nodes is never a row
+    unless it is a link.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in rg.blocks(batch.column(1)):
                 values, at = shingle_sets(data, offs, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rg.flat_lists(values.view(np.int64), np.diff(at), pa.int64())], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rg.flat_lists(values.view(np.int64), np.diff(at), pa.int64())], ["node", "set"])
 
-    held = texts.join(open_.select("node"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>")
     few = F.col("component") != F.col("largest")
-    counts = open_.groupBy("cluster").agg(F.sum(few.cast("long")).alias("a"), F.count(F.lit(1)).alias("b")).where("a > 0")
-    counts = counts.select("cluster", F.ceil(F.col("a") / BLOCK_FEW).alias("a"), F.ceil(F.col("b") / BLOCK_ALL).alias("b"))
-    rows = open_.join(fresh(counts, "cluster"), "cluster").select("node", "cluster", "component", few.alias("few"), "a", "b").join(held, "node")
+    part = ["cluster", "s"]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(*part).agg(F.sum(few.cast("long")).alias("a"), F.count(F.lit(1)).alias("b"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return counts.where("a > 0 and low < high").select(*part, F.ceil(F.col("a") / BLOCK_FEW).alias("a"), F.ceil(F.col("b") / BLOCK_ALL).alias("b"))
+
+    open_ = open_.withColumn("s", F.lit(0).cast("long"))
+    counts = cut(counted(open_))
+    big = counts.where(F.col("a") * F.col("b") > BLOCKS)
+    rows = open_.join(fresh(counts.where(F.col("a") * F.col("b") <= BLOCKS), *part), part)
+    if not big.isEmpty():
+        parted = cut(_by_prefix(open_.join(fresh(big.select("cluster"), "cluster"), "cluster", "left_semi"), texts, k, percent))
+        rows = rows.unionByName(parted.join(fresh(counted(parted), *part), part))
+    held = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set array<long>")
+    rows = rows.select("node", *part, "component", few.alias("few"), "a", "b").join(held, "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     left = rows.where("few").withColumns({"x": own("a"), "y": F.explode(F.sequence(F.lit(0), F.col("b") - 1))})
     right = rows.withColumns({"few": F.lit(False), "y": own("b"), "x": F.explode(F.sequence(F.lit(0), F.col("a") - 1))})
-    both = left.unionByName(right).select("cluster", "x", "y", "node", "component", "few", "s")
-    return both.groupBy("cluster", "x", "y").applyInArrow(_links_of_block(percent), "u long, v long").distinct()
+    both = left.unionByName(right).select(*part, "x", "y", "node", "component", "few", "set")
+    return both.groupBy(*part, "x", "y").applyInArrow(_links_of_block(percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +257,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Rows whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest
     doc_id that links reach. Null or wordless texts have no shingle and are linked with nothing; their component
     is their own doc_id. A row with a null doc_id takes part with a null component and is kept. Repeated rows are in
-    one component and get one row each. An empty table gives an empty result; other columns are ignored.
+    one component and get one row each. An empty table gives an empty result; other columns are ignored. percent is 11 at
+    least. A text of any length is taken whole, by one task, which holds some twenty times its size.
     """
     return _grouped(docs, k, percent, id_col, text_col).drop("text_hash")
 
@@ -233,7 +268,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     small_batches(spark)
-    features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(k), "doc_id long, text_hash long, n_shingles long, ca long, cb long, bands array<long>"))
+    features = cut(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(k, rows_for(percent)), "doc_id long, text_hash long, n_shingles long, ca long, cb long, bands array<long>"))
     known = features.where("n_shingles > 0 and doc_id is not null")
     # A node is a number of its own, given to each distinct set; a hash of 64 bits might stand for two of them.
     nodes = known.groupBy("ca", "cb").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.min("n_shingles").alias("n"))
@@ -252,9 +287,14 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     release(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-        both = first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        return both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(k, percent), "u long, v long, ok boolean").where("ok").select("u", "v")
+        """A centre's pairs are dealt into chunks, and its text goes to each chunk once."""
+        chunks = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("m"))
+        pairs = pairs.join(fresh(chunks, "v"), "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("m")).alias("chunk"))
+        own = pairs.join(texts.withColumnRenamed("node", "u"), "u").select("u", "v", "chunk", "text")
+        centres = chunks.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("chunk")).join(texts.withColumnRenamed("node", "v"), "v")
+        both = own.unionByName(centres.select(F.lit(None).cast("long").alias("u"), "v", "chunk", "text"))
+        both = both.repartition("v", "chunk").sortWithinPartitions("v", "chunk", F.col("u").asc_nulls_first())
+        return both.mapInArrow(_verify(k, percent), "u long, v long")
 
     links = cut(verified(tried))
     parts = cut(components(links))
