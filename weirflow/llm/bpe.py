@@ -20,7 +20,7 @@ from . import ragged as rg
 
 _NONE = np.int32(0x7FFFFFFF)
 #: Words held by a worker; a fuller cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 class PairTable:
@@ -257,7 +257,7 @@ class WordTable:
         """Words that are distinct and new."""
         if 3 * (self.n + len(first)) > 1 << self.bits:
             held, old = self.number >= 0, (self.first, self.last, self.size, self.number)
-            self.__init__((3 * (self.n + len(first))).bit_length() + 1)
+            self.__init__((3 * (self.n + len(first))).bit_length())
             self.add(*(x[held] for x in old))
         todo, probe, mixed = np.arange(len(first)), 0, self.mixed(first, last, size)
         self.n += len(first)

@@ -155,7 +155,7 @@ def _tokenised(path: str | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in rg.blocks(batch.column(1), 4 << 20):
+            for a, b, data, offs in rg.blocks(batch.column(1), 2 << 20):
                 words, n = _encoder(path).encode(data, offs)
                 sizes = n + 1
                 ids = np.full(len(words) + len(n), END, np.uint16)
