@@ -265,6 +265,68 @@ def test_samples_round_trip(kind):
     assert ((webp.decode(webp.encode_samples(samples, 576)).ravel() >> np.uint32(8)).astype(np.uint8) == samples).all()
 
 
+def forms(data):
+    """Which forms a file has: the transforms' kinds, and whether there are back-references."""
+    bits = webp.BitReader(data[20:], 8)
+    bits.read(32)
+    kinds = []
+    while bits.read(1):
+        kinds.append(bits.read(2))
+        if kinds[-1] == 3:
+            size = bits.read(8) + 1
+            webp.read_pixels(bits, size, 1, False)
+        elif kinds[-1] < 2:
+            tile = bits.read(3) + 2
+            webp.read_pixels(bits, -(-576 >> tile), 1, False)
+    bits.read(2)
+    green = webp.read_code(bits, 280)
+    return kinds, green.top > 255
+
+
+@pytest.mark.parametrize(("kind", "want"), [("noise", ([], False)), ("text", ([], True)), ("few", ([3], False)), ("two", ([3], False)), ("slope", ([0], False)), ("columns", ([0], None)), ("one", ([], False)), ("line", ([], True))])
+def test_the_encoder_takes_what_is_smallest(kind, want):
+    """Each form is chosen for pictures that suit it, and all are read back as they were."""
+    rng = np.random.default_rng(11)
+    rows = np.arange(8)[:, None]
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 12)).astype(np.uint8)) for _ in range(60)]
+    samples = {
+        "noise": rng.integers(0, 256, 576 * 8), "text": np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 60, 2000))[: 576 * 8], np.uint8),
+        "few": rng.choice([3, 99, 100, 255], 576 * 8, p=[0.4, 0.3, 0.2, 0.1]), "two": (rng.random(576 * 8) < 0.1) * 200, "slope": np.cumsum(rng.integers(0, 3, (8, 576)), axis=1).ravel(),
+        "columns": (rng.integers(0, 256, 576)[None, :] + rows * 3 + rng.integers(0, 2, (8, 576))).ravel(), "one": np.full(576, 255), "line": np.tile(rng.integers(0, 256, 100), 60)[: 576 * 8],
+    }[kind].astype(np.uint8)
+    data = webp.encode_samples(samples, 576)
+    assert ((webp.decode(data).ravel() >> np.uint32(8)).astype(np.uint8) == samples).all()
+    kinds, copies = forms(data)
+    assert kinds == want[0] and want[1] in (None, copies)
+
+
+@pytest.mark.parametrize("mode", [webp.LEFT, webp.UP])
+def test_predictors_by_rows_equal_those_by_pixels(picture, mode):
+    pixels, w, h = picture
+    modes = np.full((1, 1), mode)
+    rest = webp.predict(pixels, w, modes, 9, False)
+    mixed = np.full((-(-h // 4), -(-w // 4)), mode)
+    mixed[-1, -1] = 3 - mode  # another mode somewhere: pixel by pixel
+    own = webp.predict(pixels, w, mixed, 2, False)
+    inside = (np.arange(h)[:, None] >> 2 < mixed.shape[0] - 1) | (np.arange(w)[None, :] >> 2 < mixed.shape[1] - 1)
+    assert (rest.reshape(h, w) == own.reshape(h, w))[inside].all()
+    assert (webp.predict(rest, w, modes, 9, True) == pixels).all()
+
+
+@pytest.mark.parametrize("far", [1, 7, 8, 100, 576, 5000])
+def test_back_references_of_any_distance(far):
+    rng = np.random.default_rng(far)
+    samples = rng.integers(0, 256, 576 * 20).astype(np.uint8)
+    for at in range(far + 3000, len(samples) - 2000, 2500):
+        for i in range(at, at + 700):
+            samples[i] = samples[i - far]
+    place, size, back = webp.matches(samples)
+    for a, n, d in zip(place.tolist(), size.tolist(), back.tolist(), strict=True):
+        assert all(samples[i] == samples[i - d] for i in range(a, a + n))
+    assert (np.diff(place) >= size[:-1]).all() and len(place) >= 1
+    assert ((webp.decode(webp.encode_samples(samples, 576)).ravel() >> np.uint32(8)).astype(np.uint8) == samples).all()
+
+
 def test_broken_files():
     with pytest.raises(ValueError):
         webp.decode(b"RIFF0000WEBPVP8 " + b"\0" * 20)

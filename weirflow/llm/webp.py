@@ -1,27 +1,37 @@
-"""Lossless WebP (VP8L) in numpy and plain Python: a full decoder and an encoder for its features.
+"""Lossless WebP (VP8L) in numpy and plain Python: a full decoder, and an encoder for pictures of one channel.
 
 Decoding covers prefix codes (simple and normal), back-references with the two-dimensional short distances, the colour
 cache, several code groups by tile, and the inverse predictor, cross-colour, subtract-green and palette transforms. A
-picture is an array of 32-bit ARGB pixels. Where one prefix code carries all the bits and holds literals alone, the
-symbol and the length at every bit position come from array lookups, and only the chain of positions is followed.
+picture is an array of 32-bit ARGB pixels. Where only the green channel and distances take bits, and there is no cache, the
+symbol, the run and the length of what begins at every bit position come from array lookups; the chain of positions is
+followed, literals are put in place at once and back-references copied one by one.
+
+The encoder takes 8-bit samples as the green channel. It weighs the palette (several samples to a pixel), the left and the
+upper predictor, and back-references, by the entropy of what is left, and writes the smallest. Where samples are one
+channel, a cache place costs what a literal does and there is nothing to take from red or blue: it writes neither.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 import struct
 
 import numpy as np
 
+from . import ragged as rg
+
 MAX_SIDE = 1 << 14
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _HASH = 0x1E35A7BD
-_SHORT = """01 10 11 -11 02 20 12 -12 21 -21 22 -22 03 30 13 -13 31 -31 23 -23 32 -32 04 40 14 -14 41 -41 33 -33 24 -24 42 -42
-05 34 -34 43 -43 50 15 -15 51 -51 25 -25 52 -52 44 -44 35 -35 53 -53 06 60 16 -16 61 -61 26 -26 62 -62 45 -45 54 -54
-36 -36 63 -63 07 70 17 -17 55 -55 71 -71 46 -46 64 -64 27 -27 72 -72 37 -37 73 -73 56 -56 65 -65 80 47 -47 74 -74 81 82
-66 -66 83 57 -57 75 -75 84 67 -67 76 -76 85 77 -77 86 87"""
-#: Offsets (columns, rows) of the 120 shortest distance codes, in the order of their numbers.
-_NEAR = [(int(s[:-1]), int(s[-1])) for s in _SHORT.split()]
+#: Fixed values of the format: offsets (columns, rows) of the 120 shortest distance codes, in the order of their numbers.
+_NEAR = [
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
+    (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0),
+    (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
+    (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
+    (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+]
 
 
 class BitReader:
@@ -41,20 +51,37 @@ class BitWriter:
         self.value |= value << self.pos
         self.pos += n
 
+    def write_all(self, values: np.ndarray, counts: np.ndarray) -> None:
+        """Fields of 16 bits at most, one after another."""
+        at = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=at[1:])
+        at += self.pos & 7
+        # Each field lies in at most three bytes; sums can't carry, as no two share a bit.
+        place = at[:-1] >> 3
+        wide = values.astype(np.uint64) << (at[:-1] & 7).astype(np.uint64)
+        out = np.zeros((int(at[-1]) >> 3) + 4, np.int64)
+        for i in range(3):
+            out += np.bincount(place + i, (wide >> np.uint64(8 * i) & np.uint64(255)).astype(float), len(out)).astype(np.int64)
+        self.value |= int.from_bytes(out.astype(np.uint8).tobytes(), "little") << (self.pos - (self.pos & 7))
+        self.pos += int(at[-1]) - (self.pos & 7)
+
 
 # Prefix codes ------------------------------------------------------------------------------------------------------
 
 
+#: Numbers of 15 bits with their bits in reverse.
+_BACKWARDS = sum((np.arange(1 << 15) >> i & 1) << (14 - i) for i in range(15))
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Code of each symbol as it stands in the stream, first bit lowest."""
-    codes, code, used = np.zeros(len(lengths), np.int64), 0, np.flatnonzero(lengths)
+    codes, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
-    before = 0
-    for s in order.tolist():
-        n = int(lengths[s])
-        code <<= n - before
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code, before = code + 1, n
+    n = lengths[order]
+    # Codes count up within a length; as fractions of one they follow each other.
+    steps = np.int64(1) << (15 - n)
+    code = np.cumsum(steps) - steps
+    codes[order] = _BACKWARDS[code]
     return codes
 
 
@@ -72,10 +99,12 @@ class PrefixCode:
             raise ValueError("not a complete prefix code")
         self.bits = int(lengths.max())
         self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int8)
-        codes = canonical(lengths)
-        for s in used.tolist():
-            n = int(lengths[s])
-            self.symbol[codes[s] :: 1 << n], self.length[codes[s] :: 1 << n] = s, n
+        order = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[order]
+        # In the order of their codes, symbols fill the table one after another; a place is read with its first bit lowest.
+        places = _BACKWARDS[: 1 << self.bits] if self.bits == 15 else _BACKWARDS[np.arange(1 << self.bits) << (15 - self.bits)]
+        self.symbol[places] = np.repeat(order, 1 << (self.bits - n))
+        self.length[places] = np.repeat(n, 1 << (self.bits - n))
 
     def read(self, bits: BitReader) -> int:
         if self.only is not None:
@@ -124,26 +153,36 @@ def huffman_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    floor = 1
+    order = np.argsort(counts[used], kind="stable")
+    floor, n = 1, len(used)
     while True:
-        parent = [0] * (2 * len(used))
-        heap = [(max(c, floor), i, i) for i, c in enumerate(counts[used].tolist())]
-        heapq.heapify(heap)
-        n = len(used)
-        while len(heap) > 1:
-            (c, _, a), (d, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a] = parent[b] = n
-            heapq.heappush(heap, (c + d, n, n))
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
+        # Two queues, leaves and joined nodes, each in order of their counts.
+        weight = np.maximum(counts[used[order]], floor).tolist()
+        parent, leaf, node = [0] * (2 * n - 1), 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, node = node, node + 1
+                parent[pick] = new
+                total += weight[pick]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        lengths[used] = depth[: len(used)]
-        if lengths.max() <= limit:
+        lengths[used[order]] = depth[:n]
+        if max(depth[:n]) <= limit:
             return lengths
         floor = max(2 * floor, int(counts.sum()) >> limit)
 
 
+def write_only(bits: BitWriter, symbol: int) -> None:
+    """The code of one symbol under 256, which takes no bits."""
+    bits.write(0b101 | symbol << 3, 11)
+
+
 def write_code(bits: BitWriter, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
     if len(used) <= 1:
@@ -152,13 +191,14 @@ def write_code(bits: BitWriter, lengths: np.ndarray) -> None:
             lengths = lengths.copy()
             lengths[[0, s]] = 1
         else:
-            bits.write(1, 1), bits.write(0, 1), bits.write(1, 1), bits.write(s, 8)
+            write_only(bits, s)
             return
     bits.write(0, 1)
     out: list[tuple[int, int, int]] = []
-    at, ends = 0, np.flatnonzero(np.diff(lengths)) + 1
-    for end in [*ends.tolist(), len(lengths)]:
-        n, value = end - at, int(lengths[at])
+    at, ends = 0, (np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()
+    every = lengths.tolist()
+    for end in [*ends, len(lengths)]:
+        n, value = end - at, every[at]
         at = end
         if value:
             out += [(value, 0, 0)] * n
@@ -177,41 +217,107 @@ def write_code(bits: BitWriter, lengths: np.ndarray) -> None:
     for i in range(n):
         bits.write(int(meta[_ORDER[i]]), 3)
     bits.write(0, 1)
-    codes, one = canonical(meta), np.count_nonzero(meta) == 1
+    codes, sizes = canonical(meta).tolist(), (meta if np.count_nonzero(meta) > 1 else meta * 0).tolist()
+    value = at = 0
     for s, extra, width in out:
-        if not one:
-            bits.write(int(codes[s]), int(meta[s]))
-        bits.write(extra, width)
+        value |= (codes[s] & (1 << sizes[s]) - 1) << at
+        at += sizes[s]
+        value |= extra << at
+        at += width
+    bits.write(value, at)
 
 
 # Entropy-coded pixels ----------------------------------------------------------------------------------------------
 
 
-def _literals(bits: BitReader, code: PrefixCode, n: int) -> np.ndarray:
-    """n symbols of one code: symbol and next position at every bit, then the chain from the first one."""
-    if code.only is not None:
+def _one_channel(bits: BitReader, code: PrefixCode, distance: PrefixCode, n: int, width: int) -> np.ndarray:
+    """n green samples: what begins at every bit position, then the chain from the first one."""
+    if code.only is not None and code.only < 256:
         return np.full(n, code.only, np.uint32)
     first = bits.pos >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[first : first + (n * code.bits >> 3) + 12]
+    raw = np.frombuffer(bits.data, np.uint8)[first : first + (n * (code.bits + (70 if code.top > 255 else 0)) >> 3) + 16]
     wide = raw[:-3].astype(np.uint32)
     for i in range(1, 4):
         wide |= raw[i : len(raw) - 3 + i].astype(np.uint32) << np.uint32(8 * i)
-    keys = (wide[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.bits) - 1)).ravel()
-    steps = code.length[keys].tolist()
-    at, places = bits.pos & 7, []
+    at = bits.pos & 7
+    if code.only is None:
+        keys = (wide[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.bits) - 1)).ravel()
+        symbols, sizes = code.symbol[keys], code.length[keys]
+    else:
+        symbols, sizes = np.full(8 * len(wide), code.only, np.int32), np.zeros(8 * len(wide), np.int8)
+    if code.top < 256:
+        steps, places = sizes.tolist(), []
+        put = places.append
+        for _ in range(n):
+            put(at)
+            at += steps[at]
+        bits.pos = (first << 3) + at
+        return symbols[places].astype(np.uint32)
+
+    # A literal's step is the length of its code; that of a copy's length code stands 16 higher.
+    steps, copies, left, data = np.where(symbols >= 256, sizes + 16, sizes).tolist(), [], n, bits.data
+    only, mask = distance.only, (1 << distance.bits) - 1
+    places: list[int] = []
     put = places.append
-    for _ in range(n):
-        put(at)
-        at += steps[at]
+    while left > 0:
+        before = len(places)
+        for _ in range(left):
+            step = steps[at]
+            if step > 15:
+                break
+            put(at)
+            at += step
+        else:
+            left = 0
+            break
+        left -= len(places) - before
+        prefix = int(symbols[at]) - 256
+        at += step - 16
+        place = (first << 3) + at
+        ahead = int.from_bytes(data[place >> 3 : (place >> 3) + 9], "little") >> (place & 7)
+        size, used = _valued(prefix, ahead)
+        ahead >>= used
+        if only is None:
+            prefix, used = int(distance.symbol[ahead & mask]), used + int(distance.length[ahead & mask])
+            ahead >>= int(distance.length[ahead & mask])
+        else:
+            prefix = only
+        back, more = _valued(prefix, ahead)
+        copies.append((n - left, size, back))
+        left -= size
+        at += used + more
+    if left:
+        raise ValueError("a back-reference leaves the picture")
     bits.pos = (first << 3) + at
-    return code.symbol[keys[places]].astype(np.uint32)
+    kept, out = np.ones(n, bool), np.zeros(n, np.uint32)
+    for to, size, _ in copies:
+        kept[to : to + size] = False
+    out[kept] = symbols[places]
+    for to, size, d in copies:
+        if d > 120:
+            d -= 120
+        else:
+            x, y = _NEAR[d - 1]
+            d = max(1, x + y * width)
+        if d > to:
+            raise ValueError("a back-reference leaves the picture")
+        if d >= size:
+            out[to : to + size] = out[to - d : to - d + size]
+        else:
+            out[to : to + size] = np.resize(out[to - d : to], size)
+    return out
 
 
-def _long(bits: BitReader, prefix: int) -> int:
+def _valued(prefix: int, ahead: int) -> tuple[int, int]:
+    """The length or distance of a prefix symbol and the extra bits that follow, and how many of them it took."""
     if prefix < 4:
-        return prefix + 1
+        return prefix + 1, 0
     extra = prefix - 2 >> 1
-    return (2 + (prefix & 1) << extra) + bits.read(extra) + 1
+    return (2 + (prefix & 1) << extra) + (ahead & (1 << extra) - 1) + 1, extra
+
+
+def _long(bits: BitReader, prefix: int) -> int:
+    return _valued(prefix, bits.read(0 if prefix < 4 else prefix - 2 >> 1))[0]
 
 
 def read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -228,8 +334,8 @@ def read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
     codes = [[read_code(bits, s) for s in sizes] for _ in range(groups)]
     n = width * height
     green, red, blue, alpha, distance = codes[0]
-    if groups == 1 and not cache_bits and green.top < 256 and None not in (red.only, blue.only, alpha.only):
-        return _literals(bits, green, n) << np.uint32(8) | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
+    if groups == 1 and not cache_bits and None not in (red.only, blue.only, alpha.only):
+        return _one_channel(bits, green, distance, n, width) << np.uint32(8) | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
     out, cache, at, fresh = [0] * n, [0] * (1 << cache_bits), 0, 0
     while at < n:
         if which is not None:
@@ -309,8 +415,29 @@ _MODES = (
 )
 
 
+LEFT, UP = 1, 2
+
+
+def _predict_by_rows(pixels: np.ndarray, width: int, mode: int, invert: bool) -> np.ndarray:
+    """predict() for the left or the upper pixel all over: sums, or differences, along rows and down the first column (or
+    down columns and along the first row)."""
+    rows = _channels(pixels).reshape(4, -1, width)
+    along = 2 if mode == LEFT else 1
+    edge = (slice(None), slice(None), 0) if mode == LEFT else (slice(None), 0, slice(None))
+    if invert:
+        rows[0, 0, 0] += 255
+        rows[edge] = np.cumsum(rows[edge], axis=1)
+        return _packed(np.cumsum(rows, axis=along).reshape(4, -1))
+    out = np.diff(rows, axis=along, prepend=0)
+    out[edge] = np.diff(rows[edge], axis=1, prepend=0)
+    out[0, 0, 0] -= 255
+    return _packed(out.reshape(4, -1))
+
+
 def predict(pixels: np.ndarray, width: int, modes: np.ndarray, tile: int, invert: bool) -> np.ndarray:
     """Residuals to pixels (invert) or pixels to residuals; modes holds one predictor for each tile."""
+    if modes.min() == modes.max() in (LEFT, UP):
+        return _predict_by_rows(pixels, width, int(modes.flat[0]), invert)
     own = [tuple(p) for p in _channels(pixels).T.tolist()]
     known = [(0, 0, 0, 0)] * len(own) if invert else own
     out = []
@@ -418,27 +545,129 @@ def wrapped(bits: BitWriter, width: int, height: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(body) % 2) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
+SHORTEST, FARTHEST, LONGEST = 8, 1 << 14, 4096
+
+
+def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of back-references, in order and apart: repeats of eight samples or more of what came before,
+    found by sorting the eights."""
+    none = (np.zeros(0, np.int64),) * 3
+    n = len(samples) - SHORTEST + 1
+    if n < 2:
+        return none
+    eight = rg.eights(samples)[:n]
+    # Places in the order of a hash of their eight, equal ones in order; what only looks equal is looked at.
+    order = (np.sort(eight * np.uint64(_HASH << 32 | 1) >> np.uint64(40) << np.uint64(40) | np.arange(n, dtype=np.uint64)) & np.uint64((1 << 40) - 1)).astype(np.int64)
+    same = eight[order]
+    same = np.flatnonzero(same[1:] == same[:-1])
+    if not len(same):
+        return none
+    distance = np.zeros(n + 1, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    distance[distance > FARTHEST] = 0
+    begins = np.r_[0, np.flatnonzero(distance[1:] != distance[:-1]) + 1]
+    ends = np.r_[begins[1:], n + 1]
+    some = distance[begins] > 0
+    out, last = [], 0
+    for a, b, d in zip(begins[some].tolist(), (ends[some] + SHORTEST - 1).tolist(), distance[begins[some]].tolist(), strict=True):
+        a = max(a, last)
+        while b - a >= SHORTEST:
+            size = min(b - a, LONGEST)
+            out.append((a, size, d))
+            a += size
+            last = a
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+def _prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits, their number) of lengths and distances."""
+    v = value - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
+    count = np.where(v < 4, 0, np.maximum(high - 1, 0))
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & (1 << count) - 1, count
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of symbols of these counts under a prefix code, nearly: one bit each at least, unless they are all the same."""
+    some = counts[counts > 0]
+    n = int(some.sum())
+    return max(float(n), n * math.log2(n) - float(some @ np.log2(some))) if len(some) > 1 else 0.0
+
+
+class _Plan:
+    """How a one-channel picture would be written: literals and back-references, and the bits they are likely to take."""
+
+    def __init__(self, samples: np.ndarray):
+        literal = np.bincount(samples, minlength=280)
+        self.samples, self.green, self.distance, self.copies = samples, literal, np.zeros(40, np.int64), None
+        self.bits = _entropy(literal)
+        place, size, back = matches(samples)
+        if not len(place):
+            return
+        covered = np.zeros(len(samples) + 1, np.int64)
+        covered[place] += 1
+        covered[place + size] -= 1
+        kept = np.cumsum(covered[:-1]) == 0
+        length, far = _prefixed(size), _prefixed(back + 120)
+        green, distance = np.bincount(samples[kept], minlength=280), np.bincount(far[0], minlength=40)
+        green = green + np.bincount(256 + length[0], minlength=280)
+        bits = _entropy(green) + _entropy(distance) + float(length[2].sum() + far[2].sum()) + 5 * np.count_nonzero(distance) + 60
+        if bits < self.bits:
+            self.bits, self.green, self.distance, self.copies = bits, green, distance, (place, kept, length, far)
+
+    def write(self, bits: BitWriter, alpha: int) -> None:
+        """Codes and symbols; no cache, one group."""
+        green, distance = huffman_lengths(self.green, 15), huffman_lengths(self.distance, 15)
+        if np.count_nonzero(green) == 1 and green[256:].any():
+            green[0] = 1
+        write_code(bits, green)
+        for constant in (0, 0, alpha):  # red, blue, alpha cost nothing
+            write_only(bits, constant)
+        write_code(bits, distance)
+        codes, sizes = [canonical(x) if np.count_nonzero(x) > 1 else np.zeros(len(x), np.int64) for x in (green, distance)], []
+        for x in (green, distance):
+            sizes.append(x if np.count_nonzero(x) > 1 else np.zeros(len(x), np.int64))
+        if self.copies is None:
+            bits.write_all(codes[0][self.samples], sizes[0][self.samples])
+            return
+        place, kept, length, far = self.copies
+        literals = np.flatnonzero(kept)
+        values = [codes[0][self.samples[literals]], codes[0][256 + length[0]], length[1], codes[1][far[0]], far[1]]
+        counts = [sizes[0][self.samples[literals]], sizes[0][256 + length[0]], length[2], sizes[1][far[0]], far[2]]
+        order = np.argsort(np.concatenate([8 * literals, *(8 * place + i for i in range(4))]), kind="stable")
+        bits.write_all(np.concatenate(values)[order], np.concatenate(counts)[order])
+
+
 def encode_samples(samples: np.ndarray, width: int) -> bytes:
-    """8-bit samples as the green channel of a picture, under one Huffman code; the other channels cost nothing."""
-    lengths = huffman_lengths(np.bincount(samples, minlength=280), 15)
-    bits = BitWriter()
-    bits.write(0, 3)  # no transform, no colour cache, one code group
-    write_code(bits, lengths)
-    for constant in (0, 0, 255, 0):  # red, blue, alpha; no distance
-        one = np.zeros(256, np.int64)
-        one[constant] = 1
-        write_code(bits, one)
-    if np.count_nonzero(lengths) > 1:
-        code, size = canonical(lengths).astype(np.uint64), lengths
-        n, at = size[samples], np.zeros(len(samples) + 1, np.int64)
-        np.cumsum(n, out=at[1:])
-        at += bits.pos & 7
-        # Each code lies in at most three bytes; sums can't carry, as no two codes share a bit.
-        place = at[:-1] >> 3
-        wide = code[samples] << (at[:-1] & 7).astype(np.uint64)
-        out = np.zeros((int(at[-1]) >> 3) + 4, np.int64)
-        for i in range(3):
-            out += np.bincount(place + i, (wide >> np.uint64(8 * i) & np.uint64(255)).astype(float), len(out)).astype(np.int64)
-        bits.value |= int.from_bytes(out.astype(np.uint8).tobytes(), "little") << (bits.pos - (bits.pos & 7))
-        bits.pos += int(at[-1]) - (bits.pos & 7)
-    return wrapped(bits, width, len(samples) // width)
+    """8-bit samples as the green channel of a picture, in the smallest of the forms that are weighed."""
+    height, bits = len(samples) // width, BitWriter()
+    best = _Plan(samples)
+    colours, kind, inner = np.flatnonzero(np.bincount(samples, minlength=256)), None, width
+    if 1 < len(colours) <= 16:
+        saved = bundle_bits(len(colours))
+        wide, each = (width + (1 << saved) - 1) >> saved, 8 >> saved
+        places = np.zeros((height, wide << saved), np.uint8)
+        places[:, :width] = np.searchsorted(colours, samples).reshape(height, width)
+        bundled = _Plan((places.reshape(height, wide, -1) << (np.arange(1 << saved, dtype=np.uint8) * np.uint8(each))).sum(2).astype(np.uint8).ravel())
+        if bundled.bits + 60 + 12 * len(colours) < best.bits:
+            best, kind, inner = bundled, "palette", wide
+    for mode in (LEFT, UP):
+        step = 1 if mode == LEFT else width
+        if len(samples) > step and _entropy(np.bincount(samples[step:] - samples[:-step], minlength=256)) + 70 < best.bits:
+            rest = (_predict_by_rows(samples.astype(np.uint32) << np.uint32(8), width, mode, False) >> np.uint32(8) & np.uint32(255)).astype(np.uint8)
+            predicted = _Plan(rest)
+            if predicted.bits + 70 < best.bits:
+                best, kind, inner = predicted, mode, width
+    if kind == "palette":
+        bits.write(1, 1), bits.write(3, 2), bits.write(len(colours) - 1, 8)
+        steps = _Plan(np.diff(colours, prepend=0).astype(np.uint8))
+        bits.write(0, 1)
+        steps.write(bits, 0)  # samples are green alone: their alpha is of no use, and one value costs no bit
+    elif kind is not None:
+        bits.write(1, 1), bits.write(0, 2), bits.write(7, 3)  # one mode for tiles of 512
+        bits.write(0, 1)
+        tiles = -(-width >> 9) * -(-height >> 9)
+        _Plan(np.full(tiles, kind, np.uint8)).write(bits, 255)
+    bits.write(0, 3)  # no more transforms, no colour cache, one code group
+    best.write(bits, 0 if kind in (LEFT, UP) else 255)
+    return wrapped(bits, width, height)
