@@ -1,11 +1,13 @@
 import random
+from collections import Counter
 
 import pytest
 
 from weirflow.llm import decontaminate as d
 from weirflow.llm.queries import QUERIES
+from weirflow.llm.shared import shared_path
 
-from .helpers import contamination, corpus, frame, prose
+from .helpers import ALNUM, contamination, corpus, frame, lower, prose
 
 
 @pytest.fixture(scope="module")
@@ -18,18 +20,37 @@ def planted():
         part = words[rng.randrange(3) : len(words) - rng.randrange(3)]
         rows[i] = f"{rows[i] or ''} {', '.join(part).upper()}! {rows[i] or ''}"
     rows[900] = " ".join(items[4][1].split()[:9]) + " x " + items[4][1]
+    rows[901] = " ".join(reversed(items[4][1].split()[:10]))
     return list(rows.items()), items
 
 
+def plain_near(rows, items, slop=d.SLOP):
+    """{doc_id: number of items with a window all of whose words are about a place of its rarest one}."""
+    words = {i: ALNUM.findall(lower(t)) for i, t in rows}
+    counts = Counter(w for ws in words.values() for w in ws)
+    out = dict.fromkeys(words, 0)
+    for _, text in items:
+        own = ALNUM.findall(lower(text))
+        windows = {tuple(own[s : s + d.WINDOW]) for s in range(max(1, len(own) - d.WINDOW + 1)) if own}
+        for i, ws in words.items():
+            hit = False
+            for window in windows:
+                rare, reach = min(window, key=lambda w: (counts[w], w)), len(window) - 1 + slop
+                hit |= any(w == rare and set(window) <= set(ws[max(0, p - reach) : p + reach + 1]) for p, w in enumerate(ws))
+            out[i] += hit
+    return out
+
+
 @pytest.mark.parametrize("limit", [d.BROADCAST_BYTES, 0])
 def test_equals_brute_force(spark, planted, limit):
     """With and without broadcasts."""
     rows, items = planted
     out = d.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), limit=limit)
     found = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
-    want = contamination(rows, items)
-    assert found == want
+    want, close = contamination(rows, items), plain_near(rows, items)
+    assert found == {i: (*x, close[i]) for i, x in want.items()}
     assert sum(x[4] for x in want.values()) > 10
+    assert sum(close[i] > x[2] for i, x in want.items()) > 0
 
 
 def test_dropping_keeps_clean_rows_and_columns(spark, planted):
@@ -48,6 +69,24 @@ def test_matches(spark):
     assert near == {(1, 5), (1, 6), (2, 5), (2, 6)}
 
 
+def test_an_index_is_kept_and_extended(spark, planted):
+    """Searches for two benchmarks by one index equal searches by their own; the second adds what the first lacked."""
+    rows, items = planted
+    docs, path = frame(spark, rows), shared_path(spark, "index-test")
+    counted = []
+    for part in (items[:10], items[5:]):
+        bench = spark.createDataFrame(part, "item_id long, text string")
+        by_path, own = (sorted(map(str, d.phrase_matches(docs, bench, path=p).collect())) for p in (path, None))
+        assert by_path == own
+        near_by_path, near_own = (sorted(map(str, d.proximity_matches(docs, bench, path=p).collect())) for p in (path, None))
+        assert near_by_path == near_own
+        index = spark.read.parquet(f"{path}/postings")
+        counted.append(index.count())
+        assert index.distinct().count() == counted[-1]
+        assert spark.read.parquet(f"{path}/counts").groupBy("term").count().where("count > 1").count() == 0
+    assert counted[0] < counted[1]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     items = spark.createDataFrame([(None, "w1 w2"), (3, "w2 w3")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "w1 w2 w3", 0), (1, "w1 w2 w3", 0), (None, "w2 w3", 1), (2, None, 2)], "doc_id long, text string, dk int")
