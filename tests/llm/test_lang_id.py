@@ -44,6 +44,31 @@ def test_languages_and_undetermined_texts(spark, two):
     assert out[1004]["lang_pred"] in ("aa", "bb")
 
 
+def plain_scores(model, text):
+    """The softmax of the mean of a text's subword weights, by the definition."""
+    low = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in text)
+    raw, total, n = b" " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low.encode()) + b" ", np.zeros(len(model.langs)), 0
+    for size in lang_id.SIZES:
+        for i in range(len(raw) - size + 1):
+            gram = raw[i : i + size]
+            if 32 in gram[1:-1] or gram[0] == gram[-1] == 32:
+                continue
+            k = int.from_bytes(gram, "little") * 0x9E3779B1 + size * 0x85EBCA6B & 0xFFFFFFFF
+            k = (k ^ k >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            total, n = total + model.weights[k >> 16].astype(float), n + 1
+    x = np.exp(total / max(1, n) + model.bias)
+    return x / x.sum()
+
+
+@pytest.mark.parametrize("block", [1, 16])
+def test_scores_equal_a_plain_version(spark, two, monkeypatch, block):
+    monkeypatch.setattr(lang_id, "LANG_BLOCK", block)
+    model = lang_id.fit(two)
+    texts = ["kel", "Morva, tis! Olun", "shu WEXI été ÀÉ x", "東京 kel", "a", "kel\nmorva-tis'olun " * 50]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    assert np.allclose(model.scores(data, offs), [plain_scores(model, t) for t in texts], atol=1e-6)
+
+
 def test_held_out_labels_are_not_read(spark, two):
     wrong = two.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit("zz")).otherwise(F.col("lang")))
     one, other = lang_id.fit(two), lang_id.fit(wrong)

@@ -22,8 +22,10 @@ from . import ragged as rg
 from .shared import small_batches
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
-#: The sample's bound: so many rows of a language are expected in it, of at most so many languages.
-PER_LANG, MAX_LANGS = 500, 1000
+#: The sample's bounds: so many rows of a language are expected in it, of at most so many languages, and so many in all.
+PER_LANG, MAX_LANGS, SAMPLE_ROWS = 500, 1000, 20_000
+#: Languages that are summed up at once, so that no array is as large as subwords times languages.
+LANG_BLOCK = 16
 UNKNOWN = "und"
 #: At most this share of the calibration rows is rejected, and no score that is clearly over an even chance.
 REJECTED_SHARE, UNSURE = 0.001, 0.2
@@ -86,8 +88,9 @@ class Model:
         total, count = np.zeros((n, len(self.langs))), np.zeros(n)
         for buckets, edges in zip(*subwords(data, offs), strict=True):
             some = np.flatnonzero(np.diff(edges))
-            if len(some):
-                total[some] += np.add.reduceat(self.weights[buckets], edges[some], axis=0, dtype=np.float64)
+            for a in range(0, len(self.langs) if len(some) else 0, LANG_BLOCK):
+                part = slice(a, a + LANG_BLOCK)
+                total[some, part] += np.add.reduceat(self.weights[buckets, part], edges[some], axis=0, dtype=np.float64)
             count += np.diff(edges)
         return softmax(total / np.maximum(count, 1)[:, None] + self.bias)
 
@@ -111,11 +114,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(rows: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list:
-    """Subword shares of about per_lang rows of each of the commonest max_langs languages of rows (h, lang, text)."""
+    """Subword shares of about per_lang rows of each of the commonest max_langs languages of rows (h, lang, text); of fewer,
+    if those were more than SAMPLE_ROWS in all. What comes to the driver is a row's distinct subwords, BUCKETS at most."""
     small_batches(rows.sparkSession)
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return []
+    per_lang = min(per_lang, SAMPLE_ROWS // len(counts))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
     taken = rows.where(F.pmod("h", F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
     found = taken.mapInArrow(_counts, "h long, lang string, ids array<int>, shares array<float>").collect()
@@ -189,7 +194,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs whose language is known, all columns; texts are judged where they lie, without a shuffle."""
+    """The rows of docs whose language is known, all columns; texts are judged where they lie, without a shuffle.
+
+    Null, empty and letterless texts go, and those that the model rejects; without labelled rows all go. Each of repeated
+    rows and rows with a null doc_id are judged by their text. An empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     inner, columns = _predict(model or fit(docs)), docs.columns
 
