@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .shared import cut, fresh
 
 LEAST = 0.6
-BROADCAST_ROWS = 200_000
+#: Bytes of folders and what they hand down that are broadcast at most.
+BROADCAST_BYTES = 16 << 20
 CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby granted|redistribution and use"
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 #: What begins a line of a comment; a mark in place of the lines between comments.
@@ -154,7 +155,7 @@ def scan(files: DataFrame) -> DataFrame:
     up = folders.select("own", F.posexplode(ancestors(F.col("own"))).alias("depth", "folder")).where("depth > 0 or folder = own or folder = ''")
     near = up.join(holders, "folder").groupBy("own").agg(F.max_by(F.struct("given", "folder"), "depth").alias("g")).select(F.xxhash64("own").alias("k"), "own", "g.given", "g.folder")
     near = cut(near)
-    few = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = (near.agg(F.sum(F.octet_length("own") + F.octet_length("folder") + 96)).first()[0] or 0) <= BROADCAST_BYTES
     light = files.select("fid", "path", _folder(F.col("path")).alias("own")).withColumn("k", F.xxhash64("own"))
     out = light.join(best, "fid", "left").join(F.broadcast(near) if few else fresh(near, "k"), ["k", "own"], "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")
