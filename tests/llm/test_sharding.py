@@ -1,6 +1,8 @@
+import struct
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from weirflow.llm import sharding
@@ -33,6 +35,27 @@ def test_seed_decides_and_places_are_spread(spark):
     assert abs(np.corrcoef(np.arange(3000), slot)[0, 1]) < 0.08 and abs(np.corrcoef(np.arange(3000), shard)[0, 1]) < 0.08
 
 
+def test_places_equal_a_plain_version(spark):
+    """Buckets by the seeded hash, the generator's permutation in each, places one after another."""
+    rows = [(i, t) for i, t in corpus(2, 60)] + [(3, "again"), (3, None), (None, "x")]
+    seed, size = 5, 3000
+    total = sum(len((t or "").encode()) for _, t in rows)
+    n = max(1, -(-total // size), -(-len(rows) // (size // 128)))
+    buckets = {}
+    for i, t in rows:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        h = h if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), h)
+        h = h if t is None else xxhash.xxh64_intdigest(t.encode(), h)
+        buckets.setdefault((h - (h >> 63 << 64)) % n, []).append((i, t))
+    want = []
+    for b in sorted(buckets):
+        own = sorted(buckets[b], key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, (r[1] or "").encode()))
+        want += [own[j] for j in sharding.fisher_yates(len(own), seed, b)]
+    out = sharding.shuffled_shards(frame(spark, rows), 4, seed, size).collect()
+    found = sorted((r["slot"] * 4 + r["shard"], r["doc_id"], r["text"]) for r in out)
+    assert [(i, t) for _, i, t in found] == want
+
+
 def test_many_parts(spark, monkeypatch):
     monkeypatch.setattr(sharding, "PART", 3)
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))

@@ -32,15 +32,15 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
     """docs with shard and slot, written as Parquet under path (the shared folder, if none is given) and read again.
 
     slot counts from 0 in each shard without a gap; shards differ by a row at most. Every row is written once: rows
-    with null ids or texts and repeated rows too. A row's bucket follows from seed and doc_id (rows without one: from
-    their text). An empty table gives an empty one. Columns of docs that are named shard or slot give way to the new ones.
+    with null ids or texts and repeated rows too. A row's bucket follows from seed, doc_id and text, so rows that
+    share an id are spread; only rows that are the same meet, in a bucket of their own size. An empty table gives an empty one. Columns of docs that are named shard or slot give way to the new ones.
     """
     docs = docs.drop("shard", "slot")
     spark, names = docs.sparkSession, docs.columns
     own = spare(docs, "bucket")
     size, n = docs.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
     buckets = max(1, -(-(size or 0) // bucket_bytes), -(-n // (bucket_bytes // 128)))
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col))
     rows = docs.withColumn(own, F.pmod(key, F.lit(buckets)))
 
     def run(table: pa.Table, start: pa.Table) -> pa.Table:
