@@ -19,7 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files and checkpoints of frames that are out of use.
+    """Lets Spark's cleaner delete the shuffle files of frames that are out of use, and their checkpoints where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set (elsewhere they stay until the folder is emptied).
 
     The cleaner follows garbage collection on the driver, which may not happen for long while executors' disks fill.
     What holds a finished execution goes step by step: one or two collections mostly leave its files, three don't.
