@@ -89,15 +89,17 @@ class PrefixCode:
     """Lookup by the next bits: symbol and code length; a code of one symbol takes no bit."""
 
     def __init__(self, lengths: np.ndarray | None = None, only: int | None = None):
-        used = np.flatnonzero(lengths) if only is None else [only]
-        self.only = int(used[0]) if len(used) == 1 else only
-        self.top = max(used, default=0)
-        if self.only is not None:
-            self.bits = 0
+        if only is None:
+            used = np.flatnonzero(lengths)
+            only = int(used[0]) if len(used) == 1 else None
+        self.only, self.bits = only, 0
+        if only is not None:
+            self.top = only
             return
-        if not len(used) or np.sum(2.0 ** -lengths[used]) != 1:
+        self.top = int(used[-1]) if len(used) else 0
+        if not len(used) or int((1 << 15 - lengths[used]).sum()) != 1 << 15:
             raise ValueError("not a complete prefix code")
-        self.bits = int(lengths.max())
+        self.bits = int(lengths[used].max())
         self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int8)
         order = used[np.argsort(lengths[used], kind="stable")]
         n = lengths[order]
@@ -240,23 +242,19 @@ def _one_channel(bits: BitReader, code: PrefixCode, distance: PrefixCode, n: int
     for i in range(1, 4):
         wide |= raw[i : len(raw) - 3 + i].astype(np.uint32) << np.uint32(8 * i)
     at = bits.pos & 7
+    mask = np.uint32((1 << code.bits) - 1)
     if code.only is None:
-        keys = (wide[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.bits) - 1)).ravel()
-        symbols, sizes = code.symbol[keys], code.length[keys]
+        # A literal's step is the length of its code; that of a copy's length code stands 16 higher.
+        table = np.where(code.symbol >= 256, code.length + 16, code.length)
+        step_at = table[(wide[:, None] >> np.arange(8, dtype=np.uint32) & mask).ravel()]
     else:
-        symbols, sizes = np.full(8 * len(wide), code.only, np.int32), np.zeros(8 * len(wide), np.int8)
-    if code.top < 256:
-        steps, places = sizes.tolist(), []
-        put = places.append
-        for _ in range(n):
-            put(at)
-            at += steps[at]
-        bits.pos = (first << 3) + at
-        return symbols[places].astype(np.uint32)
+        step_at = np.full(8 * len(wide), 16, np.int8)
 
-    # A literal's step is the length of its code; that of a copy's length code stands 16 higher.
-    steps, copies, left, data = np.where(symbols >= 256, sizes + 16, sizes).tolist(), [], n, bits.data
-    only, mask = distance.only, (1 << distance.bits) - 1
+    def symbols(places: np.ndarray) -> np.ndarray:
+        return code.symbol[wide[places >> 3] >> (places & 7).astype(np.uint32) & mask]
+
+    steps, copies, left, data = step_at.tolist(), [], n, bits.data
+    only, far = distance.only, (1 << distance.bits) - 1
     places: list[int] = []
     put = places.append
     while left > 0:
@@ -271,15 +269,17 @@ def _one_channel(bits: BitReader, code: PrefixCode, distance: PrefixCode, n: int
             left = 0
             break
         left -= len(places) - before
-        prefix = int(symbols[at]) - 256
+        place = (first << 3) + at
+        ahead = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        prefix = (code.only if code.only is not None else int(code.symbol[ahead & (1 << code.bits) - 1])) - 256
         at += step - 16
         place = (first << 3) + at
         ahead = int.from_bytes(data[place >> 3 : (place >> 3) + 9], "little") >> (place & 7)
         size, used = _valued(prefix, ahead)
         ahead >>= used
         if only is None:
-            prefix, used = int(distance.symbol[ahead & mask]), used + int(distance.length[ahead & mask])
-            ahead >>= int(distance.length[ahead & mask])
+            prefix, used = int(distance.symbol[ahead & far]), used + int(distance.length[ahead & far])
+            ahead >>= int(distance.length[ahead & far])
         else:
             prefix = only
         back, more = _valued(prefix, ahead)
@@ -292,7 +292,8 @@ def _one_channel(bits: BitReader, code: PrefixCode, distance: PrefixCode, n: int
     kept, out = np.ones(n, bool), np.zeros(n, np.uint32)
     for to, size, _ in copies:
         kept[to : to + size] = False
-    out[kept] = symbols[places]
+    if places:
+        out[kept] = symbols(np.array(places))
     for to, size, d in copies:
         if d > 120:
             d -= 120
@@ -546,6 +547,8 @@ def wrapped(bits: BitWriter, width: int, height: int) -> bytes:
 
 
 SHORTEST, FARTHEST, LONGEST = 8, 1 << 14, 4096
+#: The share of a picture's bits that back-references must save: copies take longer to write and to read than literals.
+WORTH = 1 / 8
 
 
 def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -579,19 +582,28 @@ def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(out, np.int64).reshape(-1, 3).T)
 
 
-def _prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix symbol, extra bits, their number) of lengths and distances."""
-    v = value - 1
+def _prefixes(top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits, their number) of lengths and distances up to top."""
+    v = np.arange(-1, top)
     high = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
     count = np.where(v < 4, 0, np.maximum(high - 1, 0))
     return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & (1 << count) - 1, count
 
 
-def _entropy(counts: np.ndarray) -> float:
-    """Bits of symbols of these counts under a prefix code, nearly: one bit each at least, unless they are all the same."""
-    some = counts[counts > 0]
-    n = int(some.sum())
-    return max(float(n), n * math.log2(n) - float(some @ np.log2(some))) if len(some) > 1 else 0.0
+_PREFIX, _EXTRA, _WIDTH = _prefixes(FARTHEST + 120)
+
+
+#: c * log2(c) of small counts.
+_CLOG = np.arange(1 << 16) * np.log2(np.maximum(np.arange(1 << 16), 1))
+
+
+def _entropy(counts: np.ndarray, n: int) -> float:
+    """Bits of n symbols of these counts under a prefix code, nearly: one bit each at least, unless they are all the same."""
+    most = int(counts.max(initial=0))
+    if most == n:
+        return 0.0
+    parts = _CLOG[counts] if most < len(_CLOG) else counts * np.log2(np.maximum(counts, 1))
+    return max(float(n), n * math.log2(n) - float(parts.sum()))
 
 
 class _Plan:
@@ -600,19 +612,21 @@ class _Plan:
     def __init__(self, samples: np.ndarray):
         literal = np.bincount(samples, minlength=280)
         self.samples, self.green, self.distance, self.copies = samples, literal, np.zeros(40, np.int64), None
-        self.bits = _entropy(literal)
+        self.bits = _entropy(literal, len(samples))
         place, size, back = matches(samples)
         if not len(place):
             return
-        covered = np.zeros(len(samples) + 1, np.int64)
-        covered[place] += 1
-        covered[place + size] -= 1
-        kept = np.cumsum(covered[:-1]) == 0
-        length, far = _prefixed(size), _prefixed(back + 120)
+        edges = np.zeros(len(samples) + 1, np.int8)
+        edges[place] = 1
+        edges[place + size] -= 1
+        kept = np.cumsum(edges[:-1], dtype=np.int8) == 0
+        back = back + 120
+        length, far = (_PREFIX[size], _EXTRA[size], _WIDTH[size]), (_PREFIX[back], _EXTRA[back], _WIDTH[back])
         green, distance = np.bincount(samples[kept], minlength=280), np.bincount(far[0], minlength=40)
-        green = green + np.bincount(256 + length[0], minlength=280)
-        bits = _entropy(green) + _entropy(distance) + float(length[2].sum() + far[2].sum()) + 5 * np.count_nonzero(distance) + 60
-        if bits < self.bits:
+        literals = len(samples) - int(size.sum())
+        green[256:] += np.bincount(length[0], minlength=24)
+        bits = _entropy(green, literals + len(size)) + _entropy(distance, len(size)) + float(length[2].sum() + far[2].sum()) + 5 * np.count_nonzero(distance) + 60
+        if bits < self.bits * (1 - WORTH):
             self.bits, self.green, self.distance, self.copies = bits, green, distance, (place, kept, length, far)
 
     def write(self, bits: BitWriter, alpha: int) -> None:
@@ -653,7 +667,7 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
             best, kind, inner = bundled, "palette", wide
     for mode in (LEFT, UP):
         step = 1 if mode == LEFT else width
-        if len(samples) > step and _entropy(np.bincount(samples[step:] - samples[:-step], minlength=256)) + 70 < best.bits:
+        if len(samples) > step and _entropy(np.bincount(samples[step:] - samples[:-step], minlength=256), len(samples) - step) + 70 < best.bits:
             rest = (_predict_by_rows(samples.astype(np.uint32) << np.uint32(8), width, mode, False) >> np.uint32(8) & np.uint32(255)).astype(np.uint8)
             predicted = _Plan(rest)
             if predicted.bits + 70 < best.bits:
