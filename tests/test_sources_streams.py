@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weirflow import schemas, storage
 from weirflow.operators import aggregate as a
 from weirflow.operators import windowing as w
+from weirflow.plans import catalog
 from weirflow.sources import readers as r
 from weirflow.streaming import runtime
 
@@ -175,3 +176,27 @@ def test_sinks_and_progress(spark, produced):
     assert sum(batches) == 600
     assert len(batches) == 3
     assert sum(x["rows"] for x in seen.seen) == 600
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_streams_of_files_in_any_order_lose_no_rows(spark, tmp_path, spread):
+    """Files whose times run against event time, or whose ranges overlap: the windows that the last watermark closed are whole."""
+    for name, rows, per in (
+        ("documents", spark.range(1200).select(F.col("id").alias("doc_id"), F.concat(F.lit("Word w"), F.col("id") % 3).alias("text")), 400),
+        ("events", spark.range(300).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+                                           F.expr("timestampadd(HOUR, id, timestamp_ntz'2024-01-01 00:00:00')").alias("ts")), 100),
+    ):
+        for i in range(3):
+            part = rows.where(F.col(rows.columns[0]) % 3 == i if spread else F.floor(F.col(rows.columns[0]) / per) == 2 - i)
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}.parquet"))
+    words = catalog.QUERIES["stream_word_count"](spark, str(tmp_path))
+    assert words.where("word = 'WORD'").groupBy("n").count().collect() == [(20, 49)]
+    sums = catalog.QUERIES["stream_sum_by_key"](spark, str(tmp_path))
+    assert sums.groupBy("sum").count().collect() == [(2400, 12)]
+
+
+def test_files_in_order_are_read_where_they_are(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(path)
+    assert r.in_event_order(spark.read.parquet(path), path, "id") == path
