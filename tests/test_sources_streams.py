@@ -9,6 +9,7 @@ from weirflow import schemas, storage
 from weirflow.operators import aggregate as a
 from weirflow.operators import windowing as w
 from weirflow.plans import catalog
+from weirflow.sources import readers
 from weirflow.sources import readers as r
 from weirflow.streaming import runtime
 
@@ -32,6 +33,28 @@ def test_integers_leave_out_the_count(spark, tmp_path):
     assert sorted(x["v"] for x in r.integers(spark, path).collect()) == [7, 8, 9]
 
 
+def test_integers_are_written_by_all_tasks(spark, tmp_path):
+    """No task has all rows: several files, each after its count."""
+    r.write_integers(spark.range(0, 1000, 1, 3).select((F.col("id") - 500).alias("v")), str(tmp_path / "n"), 100)
+    files = [f.read_text().split() for f in (tmp_path / "n").glob("part-*")]
+    assert sorted(map(len, files)) == [34, 34, 35] + [101] * 9
+    assert all(int(f[0]) == len(f) - 1 for f in files)
+    assert sorted(x["v"] for x in r.integers(spark, str(tmp_path / "n")).collect()) == list(range(-500, 500))
+
+
+def test_integer_file_is_no_single_task(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 4).select(F.lit(1).cast("long").alias("l_suppkey"), F.lit("A").alias("l_returnflag"), (F.col("id") % 7).cast("double").alias("l_quantity"), F.current_timestamp().alias("l_shipdate"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    kept, readers.integers = readers.integers, lambda session, path: seen.append(path) or kept(session, path)
+    try:
+        found = sorted(map(tuple, catalog.QUERIES["integer_file"](spark, str(tmp_path)).collect()))
+    finally:
+        readers.integers = kept
+    assert found == [(0, 58)] + [(i, 57) for i in range(1, 7)]
+    assert len(spark.read.text(seen[0]).inputFiles()) > 1
+
+
 def test_text(spark, tmp_path):
     path = write(tmp_path / "t", "t.txt", '{"text": "hello"}\n{"text": \n{"other": 1}\n')
     assert [x["text"] for x in r.tweets(r.text_lines(spark, path)).collect()] == ["hello"]

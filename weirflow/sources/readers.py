@@ -139,11 +139,39 @@ def tweets(lines: DataFrame, column: str = "text", field: str = "text") -> DataF
 
 
 def integers(spark: SparkSession, path: str) -> DataFrame:
-    """A file of one integer a line, the first of which is the count of the rest."""
+    """Files of one integer a line, the first of which is the count of the rest. The first lines' places, one a file, are
+    broadcast; other rows stay where they are."""
     lines = spark.read.option("wholetext", False).text(path)
-    numbered = lines.select(F.col("value").cast("long").alias("v"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"))
-    head = numbered.groupBy("file").agg(F.min("i").alias("i"))
-    return numbered.join(head, ["file", "i"], "left_anti").where("v is not null").select("v")
+    numbered = lines.select(F.col("value").cast("long").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
+    head = numbered.groupBy("file").agg(F.min(F.when(F.col("at") == 0, F.col("i"))).alias("i")).select("i")
+    return numbered.join(F.broadcast(head), "i", "left_anti").where("v is not null").select("v")
+
+
+def write_integers(df: DataFrame, path: str, each: int = 4_000_000) -> None:
+    """Such files of df's only column, a long: every task writes its own, of so many numbers at most, and holds those of one file
+    until they are counted."""
+
+    def counted(batches):
+        import pyarrow as pa
+
+        def file(parts: list):
+            yield pa.RecordBatch.from_arrays([pa.array([str(sum(map(len, parts)))])], ["value"])
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([part.cast(pa.string())], ["value"])
+
+        held, n = [], 0
+        for batch in batches:
+            rest = batch.column(0)
+            while len(rest):
+                held.append(rest[: each - n])
+                n, rest = n + len(held[-1]), rest[each - n :]
+                if n == each:
+                    yield from file(held)
+                    held, n = [], 0
+        if n:
+            yield from file(held)
+
+    df.mapInArrow(counted, "value string").write.option("maxRecordsPerFile", each + 1).text(path)
 
 
 def netmon_binary(spark: SparkSession, path: str) -> DataFrame:
