@@ -99,6 +99,38 @@ def test_raw_files(spark, tmp_path):
     assert sorted(map(tuple, r.raw_file(spark, path, ["k", "v"]).collect())) == [(1, -2), (3, 1 << 62)]
 
 
+def sent(spark, monkeypatch, data, duck, name):
+    """A query's rows beside its SQL's, where no rows may pass the driver before the result is asked for."""
+
+    def refuse(self, *_, **__):
+        raise AssertionError("rows pass the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "toLocalIterator", refuse)
+        m.setattr(type(spark.range(1)), "collect", refuse)
+        df = catalog.QUERIES[name](spark, data)
+    want = duck.execute(catalog.ORACLES[name])
+    return sorted(map(tuple, df.select(*[d[0] for d in want.description]).collect())), sorted(want.fetchall())
+
+
+def test_probes_are_written_by_executors(spark, monkeypatch, data, duck):
+    found, want = sent(spark, monkeypatch, data, duck, "network_probes")
+    assert found == want
+
+
+def test_written_buffers(spark, tmp_path):
+    """So many records a file, every byte of them as it was, read again as records or probes."""
+    rows = spark.range(-500, 500, 1, 3).select(F.col("id").alias("k"), (F.col("id") * 18_014_398_509_481_985).alias("v"))
+    r.write_buffers(r.packed(rows, r.pack_longs, 100), str(tmp_path / "longs"))
+    assert sorted(f.stat().st_size // 16 for f in (tmp_path / "longs").glob("part-*")) == [33, 33, 34] + [100] * 9
+    assert sorted(map(tuple, r.raw_file(spark, str(tmp_path / "longs"), ["k", "v"]).collect())) == sorted(map(tuple, rows.collect()))
+    probes = spark.createDataFrame([("255.255.255.255-255.255.255.254", -1), ("1.2.3.4-5.6.7.8", 1 << 62)], "sd_ip string, rtt long")
+    r.write_buffers(r.packed(probes, r.pack_probes), str(tmp_path / "probes"))
+    assert sorted(map(tuple, r.netmon_binary(spark, str(tmp_path / "probes")).select("sd_ip", "rtt").collect())) == sorted(map(tuple, probes.collect()))
+    with pytest.raises(Exception, match="no form for null"):
+        r.packed(rows.withColumn("v", F.lit(None).cast("long")), r.pack_longs).count()
+
+
 def test_paced_source(spark):
     """Epochs come as time passes, whole, with gaps in event time between them."""
     batches = []

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import struct
 import time
+from collections.abc import Callable
 from functools import reduce
 from itertools import pairwise
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from ..functions.scalar import json_text, pack_ip_pair
 from ..storage import new_folder
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 _CSV = {"comment": "#", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "DROPMALFORMED"}
 
 
@@ -85,11 +90,60 @@ def random_kv(spark: SparkSession, n: int, seed: int = 0, start_us: int = 0, del
     return ids.select((F.floor(F.rand(seed) * 10000) + 1000).alias("k"), F.floor(F.rand(seed + 1) * 10).alias("v"), F.timestamp_micros(F.lit(start_us) + F.col("id") * delta_us).alias("ts"))
 
 
-def from_buffer(spark: SparkSession, raw: bytes, columns: list[str]) -> DataFrame:
-    """Records of little-endian 64-bit integers, one after another."""
-    width = 8 * len(columns)
-    rows = [struct.unpack_from(f"<{len(columns)}q", raw, i) for i in range(0, len(raw) - width + 1, width)]
-    return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns))
+def pack_longs(batch: pa.RecordBatch) -> bytes:
+    """Records of little-endian 64-bit integers, one a row."""
+    import numpy as np
+
+    if any(c.null_count for c in batch.columns):
+        raise ValueError("a record has no form for null")
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("<i8").tobytes()
+
+
+def pack_probes(batch: pa.RecordBatch) -> bytes:
+    """Rows (sd_ip, rtt) as records that netmon_binary() reads."""
+    name, rtt = (c.to_pylist() for c in batch.columns)
+    names = [n.encode() for n in name]
+    if max(map(len, names), default=0) > 32:
+        raise ValueError("a name takes 32 bytes at most")
+    return b"".join(n.ljust(32, b"\0") + struct.pack("<q", t) for n, t in zip(names, rtt, strict=True))
+
+
+def packed(df: DataFrame, pack: Callable[[pa.RecordBatch], bytes], each: int = 100_000) -> DataFrame:
+    """(content): df's rows in buffers of at most so many records, packed where the rows are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, each - n)
+                held.append(pack(part))
+                n, batch = n + part.num_rows, batch.slice(part.num_rows)  # noqa: PLW2901
+                if n == each:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], ["content"])
+                    held, n = [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], ["content"])
+
+    return df.mapInArrow(run, "content binary")
+
+
+def write_buffers(buffers: DataFrame, path: str) -> None:
+    """Each buffer as a file, written by the tasks that hold them. Spark's only writer of plain bytes is the one for lines,
+    so a newline follows the last record: an incomplete record, which readers leave out."""
+    buffers.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def from_buffers(buffers: DataFrame, columns: list[str]) -> DataFrame:
+    """Records of little-endian 64-bit integers, one after another in each buffer; an incomplete last one is left out."""
+    return _records(buffers, 8 * len(columns)).select(*(_int64(F.col("part"), 8 * i).alias(c) for i, c in enumerate(columns)))
+
+
+def from_buffer(spark: SparkSession, raw: bytes, columns: list[str], each: int = 100_000) -> DataFrame:
+    """from_buffers() of one that the driver holds, sent in pieces of so many records."""
+    step = 8 * len(columns) * each
+    return from_buffers(spark.createDataFrame([(raw[i : i + step],) for i in range(0, len(raw), step)], "content binary"), columns)
 
 
 def _int64(part: Column, at: int) -> Column:
@@ -98,15 +152,20 @@ def _int64(part: Column, at: int) -> Column:
     return reduce(Column.bitwiseOR, (F.shiftleft(b, 8 * j) for j, b in enumerate(octets)))
 
 
-def _records(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(part): the records of width bytes of the files in path; an incomplete last one is left out. A file is one task's."""
-    files = spark.read.format("binaryFile").load(path).select("content", F.floor(F.length("content") / width).cast("int").alias("n")).where("n > 0")
-    return files.select("content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(F.substring(F.col("content"), F.col("i") * width + 1, F.lit(width)).alias("part"))
+def _records(buffers: DataFrame, width: int) -> DataFrame:
+    """(part): the records of width bytes of each buffer in content; an incomplete last one is left out."""
+    whole = buffers.select("content", F.floor(F.length("content") / width).cast("int").alias("n")).where("n > 0")
+    return whole.select("content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(F.substring(F.col("content"), F.col("i") * width + 1, F.lit(width)).alias("part"))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(content): the files of path as buffers. A file is one task's."""
+    return spark.read.format("binaryFile").load(path).select("content")
 
 
 def raw_file(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """from_buffer() of files that executors read."""
-    return _records(spark, path, 8 * len(columns)).select(*(_int64(F.col("part"), 8 * i).alias(c) for i, c in enumerate(columns)))
+    """from_buffers() of files that executors read."""
+    return from_buffers(_files(spark, path), columns)
 
 
 def offset_range(spark: SparkSession, first: int, end: int, splits: int) -> DataFrame:
@@ -178,7 +237,7 @@ def netmon_binary(spark: SparkSession, path: str) -> DataFrame:
     """Records of 32 bytes 'a.b.c.d-e.f.g.h' filled with zeros and a little-endian 64-bit round-trip time."""
     part = F.col("part")
     name = F.regexp_replace(F.substring(part, 1, 32).cast("string"), "\\x00+$", "")
-    return _records(spark, path, 40).select(name.alias("sd_ip"), _int64(part, 32).alias("rtt")).withColumn("ippair", pack_ip_pair(F.col("sd_ip")))
+    return _records(_files(spark, path), 40).select(name.alias("sd_ip"), _int64(part, 32).alias("rtt")).withColumn("ippair", pack_ip_pair(F.col("sd_ip")))
 
 
 def socket_stream(spark: SparkSession, host: str, port: int) -> DataFrame:
