@@ -118,6 +118,11 @@ def test_probes_are_written_by_executors(spark, monkeypatch, data, duck):
     assert found == want
 
 
+def test_raw_files_are_written_by_executors(spark, monkeypatch, data, duck):
+    found, want = sent(spark, monkeypatch, data, duck, "raw_file")
+    assert found == want
+
+
 def test_written_buffers(spark, tmp_path):
     """So many records a file, every byte of them as it was, read again as records or probes."""
     rows = spark.range(-500, 500, 1, 3).select(F.col("id").alias("k"), (F.col("id") * 18_014_398_509_481_985).alias("v"))
