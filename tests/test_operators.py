@@ -236,6 +236,25 @@ def test_an_aggregate_of_ones_own(spark, held):
     assert a.user_aggregate(df.where("v < 0"), ("k",), list, lambda s, f: s, lambda x, y: x, lambda s: (0, 0), "total long, n long").count() == 0
 
 
+def test_ones_own_aggregate_is_called_by_group_not_by_row(spark):
+    """Rows of a group that lie far apart come to add together; a state for each task, both zeros one group."""
+    calls, name = spark.sparkContext.accumulator(0), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.range(0, 400, 1, 2).select((F.col("id") % 40 * F.when(F.col("id") < 200, -1.0).otherwise(1.0) * F.when(F.col("id") % 40 == 0, 1).otherwise(F.when(F.col("id") < 200, -1).otherwise(1))).alias("k"), F.col("id").alias("v"))
+
+    def add(state, frame):
+        calls.add(1)
+        return state + len(frame)
+
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        out = a.user_aggregate(df, ("k",), int, add, lambda x, y: x + y, lambda s: (s,), "n long").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, out)) == [(float(k), 10) for k in range(40)]
+    assert calls.value <= 80 + 40
+
+
 @pytest.mark.parametrize("mode", sorted(a.MODES))
 def test_modes_on_an_empty_table(some, mode):
     assert a.windowed(w.fixed(some.where("false"), "1 second"), mode, "k").count() == 0

@@ -181,11 +181,13 @@ def user_aggregate(df: DataFrame, groups: tuple[str, ...], init: Callable, add:
     """An aggregate of one's own: init() makes a state, add(state, frame) takes a pandas frame of a group's rows in, combine
     joins two states and finish(state) gives a tuple for the columns of schema, which follow the groups.
 
-    Every task folds its rows into states, at most held at a time, and only states are shuffled: a hot group comes
-    together from one state for each task. States are whatever pickle takes; groups are plain columns.
+    Every task sorts its rows by group and folds them into states, at most held at a time, so add is called about once for a
+    group of a task; only states are shuffled: a hot group comes together from one state for each task. A task joins the
+    states of its groups as they come by, in the groups' order. States are whatever pickle takes; groups are plain columns.
     """
     kinds, names = dict(df.dtypes), list(groups)
     keys = ", ".join(f"`{g}` {kinds[g]}" for g in names)
+    outs = df.sparkSession.createDataFrame([], f"{keys}, {schema}").columns
 
     def flush(states: dict) -> pd.DataFrame:
         return pd.DataFrame([[*k, pickle.dumps(v)] for k, v in states.items()], columns=[*names, "state_"])
@@ -201,10 +203,27 @@ def user_aggregate(df: DataFrame, groups: tuple[str, ...], init: Callable, add:
         if states:
             yield flush(states)
 
-    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *finish(reduce(combine, map(pickle.loads, frame["state_"])))]])
-
-    return df.mapInPandas(partial, f"{keys}, state_ binary").groupBy(*names).applyInPandas(merge, f"{keys}, {schema}")
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, key, state = None, None, None
+        for frame in frames:
+            rows = []
+            for *values, raw in frame[[*names, "state_"]].itertuples(index=False, name=None):
+                same = tuple(None if pd.isna(v) else v for v in values)
+                if last == same:
+                    state = combine(state, pickle.loads(raw))
+                    continue
+                if last is not None:
+                    rows.append([*key, *finish(state)])
+                last, key, state = same, values, pickle.loads(raw)
+            if rows:
+                yield pd.DataFrame(rows, columns=outs)
+        if last is not None:
+            yield pd.DataFrame([[*key, *finish(state)]], columns=outs)
+
+    # Both zeros are one group, also to the exchange.
+    df = df.withColumns({g: F.col(g) + F.lit(0).cast(kinds[g]) for g in names if kinds[g] in ("float", "double")})
+    states = df.sortWithinPartitions(*names).mapInPandas(partial, f"{keys}, state_ binary")
+    return states.repartition(*names).sortWithinPartitions(*names).mapInPandas(merged, f"{keys}, {schema}")
 
 
 #: The windowed modes by name: each takes (df, window and key columns, value, share).
