@@ -128,6 +128,27 @@ def test_raw_buffers_stay_with_executors(spark, monkeypatch, data, duck):
     assert found == want
 
 
+@pytest.mark.parametrize("name", ["raw_file", "network_probes", "raw_buffer"])
+def test_task_results_do_not_grow_with_rows(spark, tmp_path, name):
+    """Bytes that tasks send to the driver, as Spark counts them: less than one for each further row."""
+    context = spark.sparkContext._jsc.sc()
+
+    def stages() -> dict[int, int]:
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).resultSize() for i in range(found.size())}
+
+    def results(n: int) -> int:
+        rows = spark.range(0, n, 1, 4).select(F.col("id").alias("event_id"), (F.col("id") * 7919 % 65_536).alias("user_id"), F.lit("a").alias("event_type"), (F.col("id") % 10_007 / 4).alias("value"), F.lit("{}").alias("props"), F.current_timestamp().alias("ts"))
+        rows.write.parquet(str(tmp_path / str(n) / "events.parquet"))
+        last = max(stages(), default=-1)
+        catalog.QUERIES[name](spark, str(tmp_path / str(n))).write.format("noop").mode("overwrite").save()
+        assert any(k > last for k in stages())
+        return sum(size for k, size in stages().items() if k > last)
+
+    assert results(20_400) - results(400) < 20_000
+
+
 def test_a_buffer_in_pieces(spark):
     raw = struct.pack("<10q", *range(10)) + b"rest"
     assert sorted(map(tuple, r.from_buffer(spark, raw, ["k", "v"], 2).collect())) == [(i, i + 1) for i in range(0, 10, 2)]
